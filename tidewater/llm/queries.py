@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import minhash
+from tidewater.llm import minhash, quality
 from tidewater.llm.common import read
 from tidewater.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.train(docs, read(spark, sf_dir, "labels")), keep_scores=True)
+
+
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
