@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import minhash, quality
+from tidewater.llm import linededup, minhash, quality
 from tidewater.llm.common import read
 from tidewater.llm.registry import QUERIES, SQL, query
 
@@ -20,3 +20,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op8_line_dedup",
+    r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i
+  FROM (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))
+  WHERE NOT regexp_full_match(x, '[ \t\r\x0b\f]*')),
+ids AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY x) AS id FROM l),
+runs AS (
+  SELECT 1 AS k, doc_id, i, c FROM (SELECT doc_id, i, id AS c, count(*) OVER (PARTITION BY id) AS m FROM ids) WHERE m > 1
+  UNION ALL
+  SELECT k, doc_id, i, c FROM (
+    SELECT r.k + 1 AS k, r.doc_id, r.i, dense_rank() OVER (ORDER BY r.c, t.id) AS c, count(*) OVER (PARTITION BY r.c, t.id) AS m
+    FROM runs r JOIN ids t ON t.doc_id = r.doc_id AND t.i = r.i + r.k) WHERE m > 1),
+longest AS (SELECT doc_id, max(k) AS k FROM runs WHERE k >= 2 GROUP BY doc_id),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY c ORDER BY doc_id, i) AS place FROM runs WHERE k = 2) WHERE place > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.n FROM later JOIN l ON l.doc_id = later.doc_id AND l.i IN (later.i, later.i + 1)),
+lost AS (SELECT doc_id, count(*) AS m FROM gone GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS m FROM l GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS text
+  FROM (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+  ANTI JOIN gone USING (doc_id, n) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN lost.m > 0 THEN kept.text ELSE d.text END AS text, d.lang, d.source,
+  CASE WHEN lost.m > 0 THEN length(kept.text) ELSE d.n_chars END AS n_chars,
+  CAST(coalesce(lost.m, 0) AS INTEGER) AS lines_deleted, CAST(coalesce(longest.k, 0) AS INTEGER) AS longest_run
+FROM documents d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN held USING (doc_id) LEFT JOIN longest USING (doc_id)
+WHERE lost.m IS NULL OR lost.m < held.m
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(read(spark, sf_dir, "documents"), with_runs=True)
