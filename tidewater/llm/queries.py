@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import linededup, minhash, quality
+from tidewater.llm import linededup, minhash, mixing, quality
 from tidewater.llm.common import read
 from tidewater.llm.registry import QUERIES, SQL, query
 
@@ -54,3 +54,8 @@ WHERE lost.m IS NULL OR lost.m < held.m
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(read(spark, sf_dir, "documents"), with_runs=True)
+
+
+@query("op9_mix_sources")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True)
