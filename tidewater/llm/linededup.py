@@ -35,22 +35,28 @@ KEY = ("doc_id", "th")
 _BLANK = np.isin(np.arange(256), [*b" \t\r\v\f"])
 
 
+def _line_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identities and numbers of the lines that aren't blank, and where each document's begin."""
+    starts, ends, per = lines_of(data, offsets)
+    filled = np.concatenate(([0], np.cumsum(~_BLANK[data] & (data != 10))))
+    alive = np.flatnonzero(filled[ends] > filled[starts])
+    view = memoryview(np.ascontiguousarray(data))
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[alive].tolist(), ends[alive].tolist())), np.uint64, len(alive)).view(np.int64)
+    first = np.concatenate(([0], np.cumsum(per)))
+    cuts = np.searchsorted(alive, first).astype(np.int32)
+    return ids, (alive - np.repeat(first[:-1], np.diff(cuts))).astype(np.int32), cuts
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, lines, at): identities and numbers of the lines that aren't blank, one row for each distinct (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = C.utf8(batch.column(2))
-            starts, ends, per = lines_of(data, offsets)
-            filled = np.concatenate(([0], np.cumsum(~_BLANK[data] & (data != 10))))
-            alive = np.flatnonzero(filled[ends] > filled[starts])
-            view = memoryview(np.ascontiguousarray(data))
-            ids = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[alive].tolist(), ends[alive].tolist())), np.uint64, len(alive)).view(np.int64)
-            first = np.concatenate(([0], np.cumsum(per)))
-            cuts = np.searchsorted(alive, first).astype(np.int32)
-            number = (alive - np.repeat(first[:-1], np.diff(cuts))).astype(np.int32)
-            offs = pa.array(cuts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offs, pa.array(ids)), pa.ListArray.from_arrays(offs, pa.array(number))], ["doc_id", "th", "lines", "at"])
+            for a, b in C.pieces(offsets):
+                ids, number, cuts = _line_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                offs = pa.array(cuts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(offs, pa.array(ids)), pa.ListArray.from_arrays(offs, pa.array(number))], ["doc_id", "th", "lines", "at"])
 
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.text_key(text).alias("th"), F.col(text).alias("text"))
     return keyed.mapInArrow(run, "doc_id bigint, th bigint, lines array<bigint>, at array<int>").where("size(lines) > 0").dropDuplicates([*KEY])
