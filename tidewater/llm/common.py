@@ -104,14 +104,21 @@ def pieces(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         at = min(end, n)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U64)
-    if n:
-        out[0] = 1
-        out[1:] = base
+    """base to the 0 .. n - 1, modulo 2**64. Tables of ordinary size are kept."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.empty(max(n, CHUNK + 2), U64)
+        kept[0] = 1
+        kept[1:] = base
         with np.errstate(over="ignore"):
-            np.multiply.accumulate(out, out=out)
-    return out
+            np.multiply.accumulate(kept, out=kept)
+        if n <= CHUNK + 2:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

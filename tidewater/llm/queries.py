@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import linededup, minhash, mixing, quality
+from tidewater.llm import bpe, linededup, minhash, mixing, quality, tokencount
 from tidewater.llm.common import read
 from tidewater.llm.registry import QUERIES, SQL, query
 
@@ -59,3 +59,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_mix_sources")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True)
+
+
+@query("op7_bpe_encode")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"))
