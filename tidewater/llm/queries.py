@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, linededup, minhash, mixing, quality, tokencount
+from tidewater.llm import bpe, htmltext, linededup, minhash, mixing, ogg, quality, suffixdedup, tokencount, warc
 from tidewater.llm.common import read
 from tidewater.llm.registry import QUERIES, SQL, query
 
@@ -69,3 +70,73 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_token_counts")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(read(spark, sf_dir, "pages"))
+
+
+def _base32(digits: str) -> str:
+    return f"'sha1:' || translate(list_aggregate(list_transform(range(8), lambda i: lpad(to_base(('0x' || {digits}[5 * i + 1:5 * i + 5])::INTEGER, 32), 4, '0')), 'string_agg', ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
+
+
+def _urn(h: str) -> str:
+    return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
+
+
+@query(
+    "op5_warc_derivatives",
+    rf"""
+WITH bodies AS (
+  SELECT url, html AS body, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+    || chr(13) || chr(10) || 'X-Page: ' || page_id || chr(13) || chr(10) || chr(13) || chr(10) AS head, page_id, md5('response' || chr(10) || page_id || chr(10) || url) AS h FROM pages),
+source AS (SELECT page_id, url, body, {_urn("h")} AS refers_to, sha1(body) AS p, sha1(head || body) AS b, strlen(body) AS n FROM bodies),
+digested AS (SELECT *, {_base32("p")} AS pd, {_base32("b")} AS bd FROM source),
+texts AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>', ' ', 'g'), '\s+', ' ', 'g'),
+    '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|main|aside|blockquote|pre|dd|dt|dl|form|figure)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM digested),
+plain AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+    ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+', ''), '[ \n]+$', '') AS plain FROM texts),
+both_ AS (
+  SELECT 'conversion' AS warc_type, 'text/plain' AS content_type, plain AS block, * FROM plain
+  UNION ALL
+  SELECT 'metadata', 'application/json', to_json({{
+    'warc': {{'WARC-Record-ID': refers_to, 'WARC-Type': 'response', 'WARC-Target-URI': url, 'WARC-Date': '2024-01-01T00:00:00Z', 'Content-Type': 'application/http; msgtype=response', 'WARC-Payload-Digest': pd, 'WARC-Block-Digest': bd}},
+    'http': {{'status': 200, 'headers': [{{'name': 'Content-Type', 'value': 'text/html; charset=utf-8'}}, {{'name': 'Content-Length', 'value': n::VARCHAR}}, {{'name': 'X-Page', 'value': page_id::VARCHAR}}], 'body_length': n}},
+    'html': {{'title': regexp_replace(trim(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)), '\s+', ' ', 'g'), 'links': regexp_extract_all(body, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)}}}})::VARCHAR, * FROM plain),
+named AS (SELECT *, md5(warc_type || chr(10) || refers_to) AS d, sha1(block) AS s FROM both_)
+SELECT {_urn("d")} AS record_id, warc_type, refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
+  pd AS source_payload_digest, bd AS source_block_digest, 200::INTEGER AS status, {_base32("s")} AS block_digest, strlen(block)::INTEGER AS content_length, block
+FROM named
+""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(read(spark, sf_dir, "pages")))
+
+
+@query(
+    "op6_ogg_packets",
+    """
+WITH t AS (
+  SELECT conv_id, turn, text, strlen(text) AS n, role, dense_rank() OVER (PARTITION BY conv_id ORDER BY role) AS serial
+  FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL AND turn IS NOT NULL),
+p AS (
+  SELECT conv_id, serial, row_number() OVER w AS packet, sum((n // 255 + 255) // 255) OVER w AS page, 312 + sum(960 * greatest(1, (n + 63) // 64)) OVER w AS granule, n, text
+  FROM t WINDOW w AS (PARTITION BY conv_id, serial ORDER BY turn, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id AS id, serial::BIGINT AS serial, packet::INTEGER AS packet, page::BIGINT AS page, granule::BIGINT AS granule, true AS exact, 'opus' AS codec,
+  round((granule - 312) / 48000.0, 6)::DOUBLE AS seconds, true AS complete, n::INTEGER AS size, text FROM p
+UNION ALL
+SELECT DISTINCT conv_id, serial, 0, 0, 0, true, 'opus', 0.0, true, (19 + strlen(role))::INTEGER, NULL FROM t
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ogg.packets(ogg.containers(read(spark, sf_dir, "conversations")))
+    text = F.when(F.col("packet") > 0, F.col("data").cast("string"))
+    return found.select("id", "serial", "packet", "page", "granule", "exact", "codec", F.round("seconds", 6).alias("seconds"), "complete", F.octet_length("data").alias("size"), text.alias("text"))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
