@@ -215,3 +215,33 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     between = posted.mapInArrow(_matches(k, need), "doc_a bigint, doc_b bigint, matches int")
     within = found.where("id != head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(k).alias("matches"))
     return between.unionByName(within)
+
+
+def components(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(id, least): every id of a pair that isn't its component's least, with that. Large-star and small-star steps until nothing changes, each written to the shared folder."""
+    edges = scratch.cut(pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).where("a < b").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a and m < b").select(F.col("m").alias("a"), "b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(down, "b")
+        new = scratch.cut(small.select(F.col("m").alias("a"), "b").unionByName(small.where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
+        # done when it is a star forest: nothing that is pointed at points on
+        done = not new.join(new.select(F.col("b").alias("a")), "a", "left_semi").head(1) and new.count() == new.select("b").distinct().count()
+        scratch.drop(edges)
+        edges = new
+        if done:
+            return edges.select(F.col("b").alias("id"), F.col("a").alias("least"))
+
+
+def near_dedup(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the near copies: of each group linked by near_duplicates, directly or through others, the document of the least id stays.
+
+    Rows with a null id and texts without a word are copies of nothing and stay. Rows under one id stand or fall together. An empty
+    table stays empty; other columns pass through whatever their names.
+    """
+    scratch = C.Scratch(docs.sparkSession)
+    gone = components(near_duplicates(docs, k, threshold, shingle, id_col, text), scratch)
+    own = C.free_name(docs, "tw_gone")
+    return docs.join(gone.select(F.col("id").alias(own)), F.col(id_col).cast("bigint") == F.col(own), "left_anti")
