@@ -74,3 +74,73 @@ def test_word_and_prefix_hashes():
     p, power = C.prefix_hashes(h, C.BASE_B), C.powers(C.BASE_B, 10)
     span = lambda a, b: C.span_hashes(p, np.array([a]), np.array([b]), power)[0]
     assert span(4, 5) == span(5, 6) and span(1, 2) == span(3, 4) and span(0, 1) != span(2, 3)
+
+
+def groups(pairs):
+    """Least id of every id's component."""
+    least = {}
+
+    def find(x):
+        while least.setdefault(x, x) != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        least[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(least)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(rnd.randint(0, 90), rnd.randint(0, 90)) for _ in range(60)] + [(500, 400), (400, 500), (7, 7)]
+    df = spark.createDataFrame(pairs, "doc_a bigint, doc_b bigint")
+    got = {r.id: r.least for r in M.components(df, C.Scratch(spark)).collect()}
+    assert got == {x: y for x, y in groups(pairs).items() if x != y}
+    assert M.components(df.limit(0), C.Scratch(spark)).count() == 0
+
+
+def test_one_of_each_group_stays(spark):
+    rnd = random.Random(5)
+    base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(80)] for _ in range(6)]
+    rows = []
+    for b in base:
+        for k in range(5):
+            rows.append((len(rows), " ".join(w if k == 0 or rnd.random() > 0.02 else "zz" for w in b)))
+    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, "alone here"), (902, "alone here")]
+    df = frame(spark, rows)
+    out = M.near_dedup(df)
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
+    least = groups(brute(rows, 28))
+    assert out.columns == df.columns
+    assert [i for null, i in kept if not null] == sorted(i for i, _ in rows if i is not None and least.get(i, i) == i)
+    assert sum(null for null, _ in kept) == 1 and len(kept) == 6 + 4 + 1
+    assert M.near_dedup(df.limit(0)).count() == 0
+
+
+def test_recall_of_true_likeness(spark):
+    """Pairs whose sets of shingles overlap by 0.6 or more, found by comparing all with all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    import re
+
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+        sets[i] = {tuple(w[k : k + 3]) for k in range(max(len(w) - 2, 1))} if w else set()
+    where = {}
+    for i, s in sets.items():
+        for x in s:
+            where.setdefault(x, []).append(i)
+    shared = {}
+    for ids in where.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                p = (min(ids[a], ids[b]), max(ids[a], ids[b]))
+                shared[p] = shared.get(p, 0) + 1
+    like = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in shared.items()}
+    got = closed([tuple(r) for r in M.near_duplicates(docs).collect()])
+    close = [p for p, j in like.items() if j >= 0.6]
+    assert close and np.mean([p in got for p in close]) > 0.95
+    assert all(like.get(p, 0) > 0.2 for p in got)
