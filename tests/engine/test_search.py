@@ -140,6 +140,18 @@ def test_features_equal_loops(spark, text):
         assert f[6] == f[7] == 0 and len(f) == len(features.NAMES)
 
 
+def test_batch_features_equal_loops(spark):
+    rows = docs(40, 11)
+    index, plain = index_of(spark, rows, 2), Plain(rows)
+    every = [(f"q{i}", t) for i, t in enumerate(QUERIES)]
+    seen = set()
+    for r in S.search_many(index, every, "body", 100, collect_features=True).collect():
+        node = Q.parse(dict(every)[r.query_id], "body")
+        assert list(r.features) == pytest.approx(plain.features(node, r.doc), rel=1e-5, abs=1e-6)
+        seen.add((r.query_id, r.doc))
+    assert seen == {(q, d) for q, t in every for d in range(40) if plain.match(Q.parse(t, "body"), d)}
+
+
 def test_statistics(spark):
     rows = docs(20, 7)
     index, plain = index_of(spark, rows, 2), Plain(rows)

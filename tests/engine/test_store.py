@@ -10,6 +10,7 @@ from tidewater import cli
 from tidewater.errors import Corruption, FailedPrecondition, InvalidArgument
 from tidewater.operators.search import Searcher
 from tidewater.plans.schema import Schema
+from tidewater.serving import load
 from tidewater.serving.router import Request, Response, Router
 from tidewater.serving.service import SearchService, serve
 from tidewater.sources import documents, store
@@ -121,7 +122,7 @@ def test_router():
     assert r.dispatch(Request("PUT", "/a/_search")).status == 405 and r.dispatch(Request("GET", "/a")).status == 404
 
 
-def test_service_over_http(spark, tmp_path):
+def test_service_over_http(spark, tmp_path, capsys):
     os.makedirs(tmp_path / "root" / "not_an_index")
     service = SearchService(spark, str(tmp_path / "root"))
     server = serve(service, port=0)
@@ -153,6 +154,10 @@ def test_service_over_http(spark, tmp_path):
         assert call("PUT", "/x/_ltr/linear", {"weights": [1]})[0] == 400 and call("PUT", "/x/_ltr/linear", {"weights": weights})[0] == 200
         assert call("GET", "/x/_ltr")[1]["available"] == ["bm25", "catboost", "linear"]
         assert [h["_id"] for h in call("GET", "/x/_search?q=river&rerank=true&ranker=linear")[1]["hits"]] == ["b", "a"]
+        (tmp_path / "q").write_text("river\ntitle\tA\n")
+        load.main(["--url", f"http://127.0.0.1:{server.server_port}", "--index", "x", "--queries", str(tmp_path / "q"), "--clients", "2", "--seconds", "2", "--warm-up", "0"], spark)
+        out = json.loads(capsys.readouterr().out.splitlines()[-1])
+        assert out["requests"] == out["n"] > 0 and out["errors"] == 0 and 0 < out["p50"] <= out["p99"]
         assert call("DELETE", "/x")[0] == 405 and call("GET", "/x/y/z")[0] == 404
     finally:
         server.shutdown()

@@ -62,3 +62,23 @@ def columns(leaves: list[Leaf], quality: Column, k1: float = scoring.K1) -> list
         total(decayed), total(weight), F.greatest(extreme(F.greatest, weight), F.lit(0.0)), F.coalesce(quality.cast("double"), F.lit(0.0)), extreme(F.least, lambda x: x.idf), extreme(F.greatest, lambda x: x.idf), first,
     ]
     return [c.cast("float") for c in out]
+
+
+def aggregates(bm25: Column) -> list[Column]:
+    """The same by aggregation, for rows (times, idf, tf, first_pos, weight_q8, field_id, boost, decay, weighs, average) of matched leaves grouped by document."""
+    times = F.col("times").cast("double")
+    boosted = times * bm25 * F.col("boost")
+    weight = F.when(F.col("weighs"), scoring.dequantize_weight(F.coalesce("weight_q8", F.lit(32))).cast("double")).otherwise(1.0)
+    decayed = scoring.position_decay(F.col("decay"), F.col("first_pos"), F.col("average"))
+    gated = F.when((F.col("decay") > 0) & (F.col("average") > 0), F.col("first_pos") / F.col("average"))
+    return [
+        F.sum(boosted).alias("x0"), F.sum(times * F.col("tf")).alias("x1"), F.sum(times * F.col("idf")).alias("x2"), F.sum(times).alias("x3"), *(F.sum(F.when(F.col("field_id") == i, boosted)).alias(f"x{8 + i}") for i in range(4)),
+        F.sum(times * decayed).alias("x12"), F.sum(times * weight).alias("x13"), F.max(weight).alias("x14"), F.min("idf").alias("x16"), F.max("idf").alias("x17"), F.min(gated).alias("x18"),
+    ]
+
+
+def assembled() -> Column:
+    """The features from aggregates() and the columns terms (leaves of the query) and quality."""
+    ratio = F.col("x3").cast("float") / F.col("terms").cast("float")
+    own = {4: F.col("terms"), 5: ratio, 6: F.lit(0.0), 7: F.lit(0.0), 15: F.col("quality")}
+    return F.array(*(F.coalesce((own[i] if i in own else F.col(f"x{i}")).cast("float"), F.lit(0.0).cast("float")) for i in range(COUNT)))

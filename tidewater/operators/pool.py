@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.errors import InvalidArgument
@@ -17,40 +15,23 @@ from tidewater.plans import query as Q
 def pool(index: Index, judgments: DataFrame, default_field: str | None = None, top_n: int = 1000) -> DataFrame:
     """(label, query_id, f0 .. f18), a row for each judgment (query, doc_id, label, query_id); documents not among their query's best top_n have zeros.
 
-    Queries come to the driver: a judged set is small. Those that can't be read are left out with their judgments.
+    The different queries come to the driver, where they are parsed, and are searched in one plan; those that can't be read are left
+    out with their judgments. Of several documents under one identifier the best counts.
     """
     field = default_field or index.schema.default_field()
-    parts = []
-    for r in judgments.select("query").distinct().orderBy("query").collect():
-        try:
-            node = Q.parse(r.query, field)
-        except InvalidArgument:
-            continue
-        found = search.hits(index, node, search.Options(size=top_n, rerank_top_n=top_n, collect_features=True))
-        parts.append(found.select(F.lit(r.query).alias("query"), F.col("_id").alias("doc_id"), "features", F.row_number().over(_first()).alias("n")).where("n = 1").drop("n"))
-    columns = [F.coalesce(F.get("features", F.lit(i)), F.lit(0.0).cast("float")).alias(f"f{i}") for i in range(COUNT)]
-    if not parts:
-        return judgments.where(F.lit(False)).select("label", "query_id", *(F.lit(0.0).cast("float").alias(f"f{i}") for i in range(COUNT)))
-    readable = reduce(lambda a, b: a.unionByName(b), parts)
-    known = judgments.join(F.broadcast(judgments.sparkSession.createDataFrame([(q,) for q in _readable(judgments, field)], "query string")), "query", "left_semi")
-    return known.join(readable, ["query", "doc_id"], "left").select("label", "query_id", *columns)
-
-
-def _first():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_id").orderBy(F.desc("score"), "seg", "doc")
-
-
-def _readable(judgments: DataFrame, field: str) -> list[str]:
-    out = []
-    for r in judgments.select("query").distinct().collect():
+    readable = []
+    for r in judgments.select("query").where("query is not null").distinct().collect():
         try:
             Q.parse(r.query, field)
-            out.append(r.query)
+            readable.append((r.query, r.query))
         except InvalidArgument:
             pass
-    return out
+    found = search.search_many(index, readable, field, top_n, collect_features=True).join(index.docs.select("seg", "doc", "_id"), ["seg", "doc"])
+    best = Window.partitionBy("query_id", "_id").orderBy("rank")
+    found = found.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("query_id").alias("query"), F.col("_id").alias("doc_id"), "features")
+    known = judgments.sparkSession.createDataFrame([r[:1] for r in readable], "query string")
+    columns = [F.coalesce(F.get("features", F.lit(i)), F.lit(0.0).cast("float")).alias(f"f{i}") for i in range(COUNT)]
+    return judgments.join(known, "query", "left_semi").join(found, ["query", "doc_id"], "left").select("label", "query_id", *columns)
 
 
 def write_pool(rows: DataFrame, path: str) -> None:

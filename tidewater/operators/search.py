@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.errors import InvalidArgument
@@ -20,6 +20,8 @@ from tidewater.operators.rankers import Ranker
 from tidewater.plans import query as Q
 
 MAX_LEAVES = 63
+#: Rows up to which a side that the caller sized is broadcast; beyond, the join is left to the optimizer.
+BROADCAST_ROWS = 10_000
 
 
 @dataclass
@@ -109,6 +111,10 @@ def candidates(index: Index, node: Q.Query, features_too: bool = False, k1: floa
     return rows.select("seg", "doc", score.alias("score"), F.array(*features.columns(made, F.col("quality"), k1)).alias("features"))
 
 
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _top(df: DataFrame, n: int) -> DataFrame:
     """Ties go to the earlier document."""
     return df.orderBy(F.desc("score"), "seg", "doc").limit(n)
@@ -127,7 +133,7 @@ def hits(index: Index, node: Q.Query, options: Options | None = None) -> DataFra
         pool = pool.withColumn("score", o.ranker.score(columns).cast("double"))
     if two:
         pool = _top(pool, o.size)
-    return F.broadcast(pool).join(index.docs.select("seg", "doc", "_id", "stored"), ["seg", "doc"])  # at most size rows, which the caller chose
+    return _sized(pool, o.size).join(index.docs.select("seg", "doc", "_id", "stored"), ["seg", "doc"])
 
 
 def total_hits(index: Index, node: Q.Query) -> DataFrame:
@@ -167,14 +173,8 @@ class Searcher:
         return SearchResult(total, [Hit(r.score, r._id, r.stored) for r in rows], [list(r.features) for r in rows] if o.collect_features else [])
 
 
-def search_many(index: Index, queries: list[tuple], default_field: str | None = None, top: int = 10, k1: float = scoring.K1) -> DataFrame:
-    """(query_id, rank, seg, doc, score) of the best documents of each (query_id, text), in one plan for all.
-
-    Leaves of all queries are joined to the postings once; a query is the masks of leaves of which one must be there whole. Query
-    ids are strings and must be different. Queries that can't be read raise InvalidArgument. At most 63 different leaves a query.
-    """
-    spark = index.docs.sparkSession
-    field = default_field or index.schema.default_field()
+def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list, list]:
+    """Rows of leaves (query_id, bit, field, term, times), of masks (query_id, masks, terms) and of queries that match all (query_id,)."""
     leaf_rows, mask_rows, all_rows = [], [], []
     for qid, text in queries:
         node = Q.parse(text, field)
@@ -187,23 +187,43 @@ def search_many(index: Index, queries: list[tuple], default_field: str | None =
             raise InvalidArgument(f"more than {MAX_LEAVES} different terms in query {qid}")
         masks = Q.dnf(node, index.schema, bit)
         if masks:
-            mask_rows.append((str(qid), masks))
+            mask_rows.append((str(qid), masks, len(every)))
             leaf_rows += [(str(qid), bit[x], x[0], x[1], every.count(x)) for x in bit if index.schema.has(x[0])]
+    return leaf_rows, mask_rows, all_rows
+
+
+def search_many(index: Index, queries: list[tuple], default_field: str | None = None, top: int = 10, k1: float = scoring.K1, collect_features: bool = False) -> DataFrame:
+    """(query_id, rank, seg, doc, score[, features]) of the best documents of each (query_id, text), in one plan for all.
+
+    Leaves of all queries are joined to the postings once; a query is the masks of leaves of which one must be there whole. Query
+    ids are strings and must be different. Queries that can't be read raise InvalidArgument. At most 63 different leaves a query.
+    """
+    spark = index.docs.sparkSession
+    leaf_rows, mask_rows, all_rows = _batch(index, queries, default_field or index.schema.default_field())
     leaves = spark.createDataFrame(leaf_rows, "query_id string, bit int, field string, term string, times int")
-    masks = spark.createDataFrame(mask_rows, "query_id string, masks array<bigint>")
+    masks = spark.createDataFrame(mask_rows, "query_id string, masks array<bigint>, terms int")
     terms = leaves.select("field", "term").distinct()
-    own = index.postings.join(F.broadcast(terms), ["field", "term"])  # the queries come from the driver, and so are few
+    own = index.postings.join(_sized(terms, len(leaf_rows)), ["field", "term"])
     n_docs = index.docs.agg(F.count("*").alias("n_docs"))
     idf = own.groupBy("field", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("field", "term", scoring.bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
     known = leaves.join(idf, ["field", "term"])
-    rows = own.join(F.broadcast(known), ["field", "term"])
-    part = F.struct(F.col("bit"), (F.col("times") * scoring.term_score(F.col("idf"), F.col("tf"), k1)).alias("s"))
-    found = rows.groupBy("query_id", "seg", "doc").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"), F.array_sort(F.collect_list(part)).alias("parts"))
-    found = found.join(F.broadcast(masks), "query_id").where(F.exists("masks", lambda m: F.col("bits").bitwiseAND(m) == m))
-    scored = found.select("query_id", "seg", "doc", F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["s"]).alias("score"))
+    if collect_features:
+        facts = [(f.name, i, float(f.boost), float(f.position_decay), f.store_token_weights) for i, f in enumerate(index.schema.fields)]
+        fields = spark.createDataFrame(facts, "field string, field_id int, boost double, decay double, weighs boolean")
+        average = index.field_stats().groupBy("field").agg((F.sum("sum_field_length") / F.sum("doc_count")).alias("average"))
+        known = known.join(fields, "field").join(average, "field", "left")
+    rows = own.join(_sized(known, len(leaf_rows)), ["field", "term"])
+    bm25 = scoring.term_score(F.col("idf"), F.col("tf"), k1)
+    part = F.struct(F.col("bit"), (F.col("times") * bm25).alias("s"))
+    sums = features.aggregates(bm25) if collect_features else []
+    found = rows.groupBy("query_id", "seg", "doc").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"), F.array_sort(F.collect_list(part)).alias("parts"), *sums)
+    found = found.join(_sized(masks, len(mask_rows)), "query_id").where(F.exists("masks", lambda m: F.col("bits").bitwiseAND(m) == m))
+    score = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["s"]).alias("score")
+    if collect_features:
+        found = found.join(index.docs.select("seg", "doc", "quality"), ["seg", "doc"], "left")
+    scored = found.select("query_id", "seg", "doc", score, *([features.assembled().alias("features")] if collect_features else []))
     if all_rows:
-        scored = scored.unionByName(spark.createDataFrame(all_rows, "query_id string").crossJoin(index.docs.select("seg", "doc", F.lit(0.0).alias("score"))))
-    from pyspark.sql import Window
-
+        extra = [F.array(*features.columns([], F.col("quality"), k1)).alias("features")] if collect_features else []
+        scored = scored.unionByName(spark.createDataFrame(all_rows, "query_id string").crossJoin(index.docs.select("seg", "doc", F.lit(0.0).alias("score"), *extra)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seg", "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "seg", "doc", "score")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "seg", "doc", "score", *(["features"] if collect_features else []))
