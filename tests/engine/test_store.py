@@ -14,6 +14,7 @@ from tidewater.serving import load
 from tidewater.serving.router import Request, Response, Router
 from tidewater.serving.service import SearchService, serve
 from tidewater.sources import documents, store
+from tidewater.sources.files import Files
 from tidewater.streaming.writer import IndexWriter
 
 SCHEMA = {"mappings": {"title": {"stored": True}, "body": {"store_token_weights": True}, "n": {}}, "store_doc_quality": True}
@@ -76,15 +77,29 @@ def test_order_of_arrival_decides_ties(spark, tmp_path):
     assert [h.id for h in Searcher(w.reader()).search("same", "body", size=5).hits] == ["d5", "e5", "d3", "e3", "d4"]
 
 
-def test_manifest(tmp_path):
-    assert store.load_manifest(str(tmp_path)).generation == 0
+def test_manifest(spark, tmp_path):
+    files = Files(spark)
+    assert store.load_manifest(files, str(tmp_path)).generation == 0
     m = store.Manifest(3, [{"seg": 0, "stem": "s", "doc_count": 2}], [7], 1)
-    store.save_manifest(str(tmp_path), m)
-    assert store.load_manifest(str(tmp_path)) == m
+    store.save_manifest(files, str(tmp_path), m)
+    assert store.load_manifest(files, str(tmp_path)) == m
     for bad in ("{", "{}", '{"version": 1}', '{"version": 2, "generation": "x"}'):
         (tmp_path / "manifest.json").write_text(bad)
         with pytest.raises(Corruption):
-            store.load_manifest(str(tmp_path))
+            store.load_manifest(files, str(tmp_path))
+
+
+def test_files(spark, tmp_path):
+    files, at = Files(spark), f"file://{tmp_path}/a b"
+    files.make(at)
+    files.write(f"{at}/x", "one é")
+    files.write(f"{at}/x", "two")
+    files.write(f"{at}/.hidden", "")
+    assert files.read(f"{at}/x") == "two" and files.names(at) == ["x"] and files.is_folder(at) and not files.is_folder(f"{at}/x")
+    files.rename(f"{at}/x", f"{at}/y")
+    assert files.exists(f"{at}/y") and not files.exists(f"{at}/x") and files.names(f"{at}/none") == []
+    files.delete(at)
+    assert not files.exists(at)
 
 
 def test_sources(spark, tmp_path):

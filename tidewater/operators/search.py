@@ -120,8 +120,8 @@ def _top(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("score"), "seg", "doc").limit(n)
 
 
-def hits(index: Index, node: Q.Query, options: Options | None = None) -> DataFrame:
-    """(score, seg, doc, _id, stored[, features]) of the best documents; not in order, sort by score descending, seg, doc.
+def best(index: Index, node: Q.Query, options: Options | None = None) -> DataFrame:
+    """(seg, doc, score[, features]) of the best documents.
 
     With a ranker the best rerank_top_n (size at least) by BM25 get its score instead, and the best size of these are returned.
     """
@@ -133,7 +133,13 @@ def hits(index: Index, node: Q.Query, options: Options | None = None) -> DataFra
         pool = pool.withColumn("score", o.ranker.score(columns).cast("double"))
     if two:
         pool = _top(pool, o.size)
-    return _sized(pool, o.size).join(index.docs.select("seg", "doc", "_id", "stored"), ["seg", "doc"])
+    return pool
+
+
+def hits(index: Index, node: Q.Query, options: Options | None = None) -> DataFrame:
+    """(seg, doc, score[, features], _id, stored) of the best documents; not in order, sort by score descending, seg, doc."""
+    o = options or Options()
+    return _sized(best(index, node, o), o.size).join(index.docs.select("seg", "doc", "_id", "stored"), ["seg", "doc"])
 
 
 def total_hits(index: Index, node: Q.Query) -> DataFrame:
@@ -169,8 +175,14 @@ class Searcher:
         total = total_hits(self.index, node).first().total
         if not o.size or not total:
             return SearchResult(total, [], [])
-        rows = hits(self.index, node, o).orderBy(F.desc("score"), "seg", "doc").collect()
-        return SearchResult(total, [Hit(r.score, r._id, r.stored) for r in rows], [list(r.features) for r in rows] if o.collect_features else [])
+        rows = sorted(best(self.index, node, o).collect(), key=lambda r: (-r.score, r.seg, r.doc))
+        # segments hold documents in the order of their numbers, so that these few reach few row groups
+        where = F.lit(False)
+        for seg in {r.seg for r in rows}:
+            where = where | ((F.col("seg") == seg) & F.col("doc").isin([r.doc for r in rows if r.seg == seg]))
+        stored = {(r.seg, r.doc): r for r in self.index.docs.where(where).select("seg", "doc", "_id", "stored").collect()}
+        found = [(r.score, stored[r.seg, r.doc]) for r in rows]
+        return SearchResult(total, [Hit(score, d._id, d.stored) for score, d in found], [list(r.features) for r in rows] if o.collect_features else [])
 
 
 def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list, list]:

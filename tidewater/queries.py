@@ -458,7 +458,7 @@ def j9(spark, sf_dir):
 @query("k1_stored_index", search_sql([("p_name", "widget"), ("p_type", "small")], "t0 OR t1", post=PART_POST).replace("doc AS doc_id", "doc::VARCHAR AS _id"))
 def k1(spark, sf_dir):
     parts = read(spark, sf_dir, "part").withColumn("_id", F.col("p_partkey").cast("string"))
-    index = index_frame(parts.select("_id", "p_name", "p_type", "p_brand"), parts_index(spark, sf_dir).schema, shared.folder(spark).removeprefix("file://").removeprefix("file:"))
+    index = index_frame(parts.select("_id", "p_name", "p_type", "p_brand"), parts_index(spark, sf_dir).schema, shared.folder(spark))
     rows = S.candidates(index, Q.parse("widget OR p_type:small", "p_name"))
     return rows.join(index.docs, ["seg", "doc"]).select("_id", F.round("score", 6).alias("score"))
 
@@ -466,7 +466,7 @@ def k1(spark, sf_dir):
 @query("r2s_refresh", search_sql([("p_name", "widget"), ("p_type", "small")], "t0 OR t1", post=PART_POST).replace("doc AS doc_id", "doc::VARCHAR AS _id"))
 def r2s(spark, sf_dir):
     """Two refreshes of the writer: the table's halves land as JSON lines, and each becomes a segment."""
-    root = shared.folder(spark).removeprefix("file://").removeprefix("file:")
+    root = shared.folder(spark)
     writer = IndexWriter(spark, root, parts_index(spark, sf_dir).schema)
     rows = read(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(2)).alias("half"), F.to_json(F.struct(F.col("p_partkey").cast("string").alias("_id"), "p_name", "p_type", "p_brand")).alias("value"))
     for half in (0, 1):

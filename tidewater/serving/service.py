@@ -16,6 +16,7 @@ from tidewater.operators.rankers import LinearRanker, ModelRanker, Ranker
 from tidewater.operators.search import Options, Searcher
 from tidewater.plans.schema import Schema
 from tidewater.serving.router import Request, Response, Router
+from tidewater.sources.files import Files
 from tidewater.streaming.writer import IndexWriter
 
 log = logging.getLogger("tidewater")
@@ -34,15 +35,14 @@ class SearchService:
         self.model = model or ModelRanker()
         self.slots = threading.Semaphore(max_searches or max(2 * (os.cpu_count() or 1), 4))
         self.inside, self.peak = 0, 0
-        os.makedirs(root, exist_ok=True)
-        for entry in sorted(os.scandir(root), key=lambda e: e.name):
-            if entry.is_dir():
+        files = Files(spark)
+        files.make(root)
+        for name in files.names(root):
+            if files.exists(f"{root}/{name}/schema.json"):
                 try:
-                    self.writers[entry.name] = IndexWriter(spark, entry.path) if os.path.exists(f"{entry.path}/schema.json") else None
-                    if self.writers[entry.name] is None:
-                        del self.writers[entry.name]
+                    self.writers[name] = IndexWriter(spark, f"{root}/{name}")
                 except Exception as e:  # noqa: BLE001  a broken index must not keep the others from being served
-                    log.warning("%s is left out: %s", entry.path, e)
+                    log.warning("%s is left out: %s", name, e)
         self.router = Router()
         for method, path, handler in (
             ("GET", "/_health", lambda r: Response(200, {"status": "ok"})),

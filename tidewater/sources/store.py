@@ -6,7 +6,6 @@ Only the segments that the manifest lists exist; it is replaced in one step.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.errors import Corruption, FailedPrecondition
 from tidewater.operators import postings as P
 from tidewater.plans.schema import Schema
+from tidewater.sources.files import Files
 
 VERSION = 2
 
@@ -27,23 +27,13 @@ class Manifest:
     next_seg: int = 0
 
 
-def _replace(path: str, text: str) -> None:
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
-
-
-def load_manifest(root: str) -> Manifest:
+def load_manifest(files: Files, root: str) -> Manifest:
     """Without a manifest the index is empty, at generation 0."""
     path = f"{root}/manifest.json"
-    if not os.path.exists(path):
+    if not files.exists(path):
         return Manifest()
     try:
-        with open(path, encoding="utf-8") as f:
-            raw = json.load(f)
+        raw = json.loads(files.read(path))
         if raw["version"] != VERSION:
             raise Corruption(f"manifest: version {raw['version']}")
         return Manifest(int(raw["generation"]), [{"seg": int(s["seg"]), "stem": str(s["stem"]), "doc_count": int(s["doc_count"])} for s in raw["segments"]], [int(b) for b in raw["batches"]], int(raw["next_seg"]))
@@ -51,21 +41,20 @@ def load_manifest(root: str) -> Manifest:
         raise Corruption(f"manifest: {e}") from e
 
 
-def save_manifest(root: str, m: Manifest) -> None:
-    _replace(f"{root}/manifest.json", json.dumps({"version": VERSION, "generation": m.generation, "segments": m.segments, "batches": m.batches, "next_seg": m.next_seg}, indent=2))
+def save_manifest(files: Files, root: str, m: Manifest) -> None:
+    files.write(f"{root}/manifest.json", json.dumps({"version": VERSION, "generation": m.generation, "segments": m.segments, "batches": m.batches, "next_seg": m.next_seg}, indent=2))
 
 
-def load_schema(root: str, given: Schema | None = None) -> Schema:
+def load_schema(files: Files, root: str, given: Schema | None = None) -> Schema:
     """The stored schema wins over the given one; without either the index can't be opened."""
     path = f"{root}/schema.json"
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            return Schema.from_json(f.read())
+    if files.exists(path):
+        return Schema.from_json(files.read(path))
     if given is None:
         raise FailedPrecondition("the index has no schema and none was given")
     schema = given.with_id()
-    os.makedirs(root, exist_ok=True)
-    _replace(path, schema.to_json())
+    files.make(root)
+    files.write(path, schema.to_json())
     return schema
 
 
@@ -85,15 +74,14 @@ def seal(docs: DataFrame, schema: Schema, root: str, seg: int, name: str, partit
     spread = rows.repartitionByRange(partitions, "field", "term") if partitions else rows.repartitionByRange("field", "term")
     spread.sortWithinPartitions("field", "term", "doc").write.mode("overwrite").parquet(f"{at}/postings")
     P.field_stats(spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/fields")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{at}/raw")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    Files(spark).delete(f"{at}/raw")
     return spark.read.parquet(f"{at}/docs").count()
 
 
 def open_index(spark: SparkSession, root: str, manifest: Manifest | None = None) -> P.Index:
     """A snapshot of the segments that the manifest lists now; later refreshes don't change it."""
-    m = manifest or load_manifest(root)
-    schema = load_schema(root)
+    files = Files(spark)
+    m = manifest or load_manifest(files, root)
+    schema = load_schema(files, root)
     read = lambda part, kind: spark.read.schema(kind).parquet(*[f"{root}/segments/{s['stem']}/{part}" for s in m.segments]) if m.segments else spark.createDataFrame([], kind)
     return P.Index(schema, read("postings", P.POSTINGS), read("docs", P.DOCS), read("fields", P.FIELD_STATS), m.generation, {"segments": [s["stem"] for s in m.segments], "fingerprint": schema.fingerprint()})

@@ -9,8 +9,6 @@ finds its number in the manifest and does nothing.
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import threading
 import uuid
 
@@ -21,6 +19,7 @@ from tidewater.errors import InvalidArgument
 from tidewater.operators.postings import Index
 from tidewater.plans.schema import Schema
 from tidewater.sources import documents, store
+from tidewater.sources.files import Files
 
 
 class IndexWriter:
@@ -28,10 +27,11 @@ class IndexWriter:
 
     def __init__(self, spark: SparkSession, root: str, schema: Schema | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        os.makedirs(f"{self.root}/landing", exist_ok=True)
-        self.schema = store.load_schema(self.root, schema)
+        self.files = Files(spark)
+        self.schema = store.load_schema(self.files, self.root, schema)
+        self.files.make(f"{self.root}/landing")
         self.lock = threading.Lock()
-        self.manifest = store.load_manifest(self.root)
+        self.manifest = store.load_manifest(self.files, self.root)
         self.closed = False
 
     @property
@@ -53,43 +53,40 @@ class IndexWriter:
         part = f"{self.root}/incoming-{uuid.uuid4().hex}"
         lines.select("value").write.text(part)
         with self.lock:
-            for n in sorted(x for x in os.listdir(part) if x.startswith("part-")):
-                os.replace(f"{part}/{n}", f"{self.root}/landing/{self._next():020d}.jsonl")
-        shutil.rmtree(part, ignore_errors=True)
+            for n in self.files.names(part):
+                self.files.rename(f"{part}/{n}", f"{self.root}/landing/{self._next():020d}.jsonl")
+        self.files.delete(part)
+
+    def _landed(self) -> list[str]:
+        return [n for n in self.files.names(f"{self.root}/landing") if n.endswith(".jsonl")]
 
     def _next(self) -> int:
-        taken = [int(n.split(".")[0]) for n in os.listdir(f"{self.root}/landing") if n.endswith(".jsonl")]
+        taken = [int(n.split(".")[0]) for n in self._landed()]
         self._number = max([*taken, self._last_number()], default=0) + 1
         return self._number
 
     def _log(self, text: str) -> None:
         with self.lock:
-            at = self._next()
-            part = f"{self.root}/landing/.{uuid.uuid4().hex}"
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(text)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(part, f"{self.root}/landing/{at:020d}.jsonl")
+            self.files.write(f"{self.root}/landing/{self._next():020d}.jsonl", text)
 
     def _last_number(self) -> int:
         if not hasattr(self, "_number"):
             path = f"{self.root}/landing.next"
-            self._number = int(open(path).read()) if os.path.exists(path) else 0
+            self._number = int(self.files.read(path)) if self.files.exists(path) else 0
         return self._number
 
     def refresh(self) -> int:
         """Makes what was added so far visible and returns the generation, which stays if there was nothing. At that the log is emptied."""
         with self.lock:
-            names = sorted(n for n in os.listdir(f"{self.root}/landing") if n.endswith(".jsonl"))
+            names = self._landed()
             if not names:
                 return self.generation
-            store._replace(f"{self.root}/landing.next", str(int(names[-1].split(".")[0])))
+            self.files.write(f"{self.root}/landing.next", str(int(names[-1].split(".")[0])))
             source = self.spark.readStream.schema("value string").format("text").load(f"{self.root}/landing/*.jsonl").withColumn("file", F.input_file_name())
             query = source.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
             for n in names:
-                os.remove(f"{self.root}/landing/{n}")
+                self.files.delete(f"{self.root}/landing/{n}")
             return self.generation
 
     def _batch(self, df: DataFrame, number: int) -> None:
@@ -101,10 +98,10 @@ class IndexWriter:
         count = store.seal(ordered, self.schema, self.root, m.next_seg, name)
         segments = [*m.segments, {"seg": m.next_seg, "stem": name, "doc_count": count}] if count else m.segments
         if not count:
-            shutil.rmtree(f"{self.root}/segments/{name}", ignore_errors=True)
+            self.files.delete(f"{self.root}/segments/{name}")
         # the last batch is all that a restart may repeat
         new = store.Manifest(m.generation + (1 if count else 0), segments, [number], m.next_seg + 1)
-        store.save_manifest(self.root, new)
+        store.save_manifest(self.files, self.root, new)
         self.manifest = new
 
     def reader(self) -> Index:
@@ -117,11 +114,11 @@ class IndexWriter:
 
 def index_frame(df: DataFrame, schema: Schema, root: str) -> Index:
     """Indexes a whole frame as the next segment, in the order of its rows' _id; for corpora that don't pass through the log."""
-    os.makedirs(root, exist_ok=True)
-    schema = store.load_schema(root, schema)
-    m = store.load_manifest(root)
+    files = Files(df.sparkSession)
+    schema = store.load_schema(files, root, schema)
+    m = store.load_manifest(files, root)
     name = store.stem(m.generation + 1, m.next_seg)
     count = store.seal(df.withColumn("order", F.col("_id")), schema, root, m.next_seg, name)
     new = store.Manifest(m.generation + 1, [*m.segments, {"seg": m.next_seg, "stem": name, "doc_count": count}], m.batches, m.next_seg + 1)
-    store.save_manifest(root, new)
+    store.save_manifest(files, root, new)
     return store.open_index(df.sparkSession, root, new)
