@@ -137,6 +137,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "serial", "packet", "page", "granule", "exact", "codec", F.round("seconds", 6).alias("seconds"), "complete", F.octet_length("data").alias("size"), text.alias("text"))
 
 
-@query("op10_suffix_dedup")
+@query(
+    "op10_suffix_dedup",
+    """
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9[:^ascii:]]+') AS ws FROM documents WHERE text IS NOT NULL),
+passages AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+repeated AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY p) AS n, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS k FROM passages) WHERE n > 1),
+spans AS (SELECT doc_id, i, k, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeated)),
+later AS (SELECT doc_id, span, sum(least(50, coalesce(i - before, 50))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM spans WHERE k > 1) GROUP BY ALL)
+SELECT s.doc_id, min(i)::INTEGER AS start_word, (max(i) + 50)::INTEGER AS end_word, coalesce(any_value(later.n), 0)::INTEGER AS later_words
+FROM spans s LEFT JOIN later ON later.doc_id = s.doc_id AND later.span = s.span GROUP BY s.doc_id, s.span
+""",
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
+    found = suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
+    later = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["end"] - c["start"])
+    return found.select("doc_id", "start_word", "end_word", later.alias("later_words"))
