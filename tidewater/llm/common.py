@@ -22,6 +22,8 @@ WORD[128:] = True
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text that are hashed at a time; a single longer document is taken alone.
 CHUNK = 1 << 21
+#: Words that are hashed at a time: there are some numbers of 8 bytes for each of their bytes meanwhile.
+WORDS = 1 << 17
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -149,6 +151,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     """Polynomial hashes of the words' bytes, spread over 64 bits."""
     if not len(starts):
         return np.zeros(0, U64)
+    if len(starts) > WORDS:
+        return np.concatenate([word_hashes(data, starts[i : i + WORDS], ends[i : i + WORDS], base) for i in range(0, len(starts), WORDS)])
     length = ends - starts
     first = np.concatenate(([0], np.cumsum(length)[:-1]))
     local = np.arange(int(length.sum())) - np.repeat(first, length)

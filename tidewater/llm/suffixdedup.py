@@ -24,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import common as C
 
 MIN_WORDS = 50
+#: Bytes of text that are hashed at a time, and bytes of surroundings that are written or sorted at a time (a larger group alone); they bound a worker's memory, not the result.
+PIECE, BLOB = 1 << 20, 1 << 21
 U64 = np.uint64
 _TOP = U64(0xFFFFFFFFFFFFFFFF)
 _RANGE = "lo int, hi int, later_lo int, later_hi int, copy_of bigint"
@@ -87,7 +90,7 @@ def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = C.utf8(batch.column(2), lower=True)
-            for a, b in C.pieces(offsets):
+            for a, b in C.pieces(offsets, PIECE):
                 doc, at, g, c, d, before, after = anchors_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], min_words)
                 rows = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(d), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at), pa.array(before), pa.array(after)], ["g", "c", "d", "doc_id", "th", "at", "before", "after"])
@@ -164,7 +167,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around the wanted places of a document, lower case, one space apart."""
     for batch in batches:
         data, offsets = C.utf8(batch.column(2), lower=True)
-        for a, b in C.pieces(offsets):
+        for a, b in C.pieces(offsets, PIECE):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts, ends, first = C.words(part, off)
             size = ends - starts + 1
@@ -179,10 +182,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word = first[rows] + at
             lo, hi = put[word - before], put[word + after]
             length = hi - lo
-            take = np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            blob = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(length))).astype(np.int32)), pa.py_buffer(flat[take])])
+            upto = np.concatenate(([0], np.cumsum(length)))
             index = pa.array(rows + a)
-            yield pa.RecordBatch.from_arrays([pa.array(g), batch.column(0).take(index), batch.column(1).take(index), pa.array(at), pa.array(before), pa.array(many), blob], ["g", "doc_id", "th", "at", "before", "many", "words"])
+            for s, e in C.pieces(upto, BLOB):
+                own = length[s:e]
+                take = np.repeat(lo[s:e] - (upto[s:e] - upto[s]), own) + np.arange(upto[e] - upto[s])
+                blob = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer((upto[s : e + 1] - upto[s]).astype(np.int32)), pa.py_buffer(flat[take])])
+                near = index.slice(s, e - s)
+                yield pa.RecordBatch.from_arrays([pa.array(g[s:e]), batch.column(0).take(near), batch.column(1).take(near), pa.array(at[s:e]), pa.array(before[s:e]), pa.array(many[s:e]), blob], ["g", "doc_id", "th", "at", "before", "many", "words"])
 
 
 class Suffixes:
@@ -336,20 +343,24 @@ def _sorted(min_words: int):
         order = np.argsort(g, kind="stable")
         rank = np.empty(len(g), np.int64)
         rank[np.lexsort((at, th, raw, null))] = np.arange(len(g))
-        blobs = table.column("words").to_pylist()
-        sf, sl, lf, ll, copy = resolve([blobs[i] for i in order.tolist()], g[order], before[order].astype(np.int64), rank[order], min_words)
-        place = at[order].astype(np.int64)
-        # an anchor whose class has others is repeated wherever a passage fits, which is all around it
-        many = table.column("many").to_numpy(zero_copy_only=False)[order]
-        n_words = np.array([x.count(b" ") for x in blobs], np.int64)[order] - before[order]
-        sf, sl = np.where(many, np.maximum(0, min_words - n_words), sf), np.where(many, before[order], sl)
-        lo, hi = _ranges(sf, sl, place, min_words)
-        llo, lhi = _ranges(lf, ll, place, min_words)
-        keep = np.flatnonzero(sl >= 0)
-        rows = pa.array(order[keep])
-        of = ids.take(pa.array(order[np.maximum(copy[keep], 0)]))
-        of = pa.array(np.asarray(of.fill_null(0)), mask=np.asarray(of.is_null()) | (copy[keep] < 0))
-        yield pa.RecordBatch.from_arrays([ids.take(rows), pa.array(th[order[keep]]), *(pa.array(x[keep].astype(np.int32)) for x in (lo, hi, llo, lhi)), of], ["doc_id", "th", "lo", "hi", "later_lo", "later_hi", "copy_of"])
+        blobs, all_many = table.column("words"), table.column("many").to_numpy(zero_copy_only=False)
+        size = pc.binary_length(blobs).to_numpy()[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], g[order][1:] != g[order][:-1], [True])))
+        upto = np.concatenate(([0], np.cumsum(size)))[first]
+        for x, y in C.pieces(upto, BLOB):  # whole groups
+            own = order[first[x] : first[y]]
+            words = blobs.take(pa.array(own)).to_pylist()
+            sf, sl, lf, ll, copy = resolve(words, g[own], before[own].astype(np.int64), rank[own], min_words)
+            place, many = at[own].astype(np.int64), all_many[own]
+            # an anchor whose class has others is repeated wherever a passage fits, which is all around it
+            n_words = np.array([w.count(b" ") for w in words], np.int64) - before[own]
+            sf, sl = np.where(many, np.maximum(0, min_words - n_words), sf), np.where(many, before[own], sl)
+            lo, hi = _ranges(sf, sl, place, min_words)
+            llo, lhi = _ranges(lf, ll, place, min_words)
+            keep = np.flatnonzero(sl >= 0)
+            of = ids.take(pa.array(own[np.maximum(copy[keep], 0)]))
+            of = pa.array(np.asarray(of.fill_null(0)), mask=np.asarray(of.is_null()) | (copy[keep] < 0))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[keep])), pa.array(th[own[keep]]), *(pa.array(v[keep].astype(np.int32)) for v in (lo, hi, llo, lhi)), of], ["doc_id", "th", "lo", "hi", "later_lo", "later_hi", "copy_of"])
 
     return run
 
