@@ -32,7 +32,7 @@ ENDS = {"p": BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "
 DEPTH = 512
 #: Where the search for an element that ends by itself stops.
 SCOPE = frozenset("table ul ol dl div article section main body html td th blockquote".split())
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW | {"textarea", "title"}}
 
 
