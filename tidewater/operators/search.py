@@ -83,8 +83,9 @@ def candidates(index: Index, node: Q.Query, features_too: bool = False, k1: floa
             aggs += [F.max(F.when(is_leaf[x], F.col(c))).alias(f"{c}{i}") for c in ("first_pos", "weight_q8")]
     found = own.groupBy("seg", "doc").agg(*aggs)
     column = {x: F.col(f"tf{i}") for i, x in enumerate(known)}
+    # over the same aggregation as the candidates, whose exchange then serves both
+    df = found.agg(*(F.count(f"tf{i}").alias(f"df{i}") for i in range(len(known))))
     found = found.where(matches(node, index, column))
-    df = own.agg(*(F.count(F.when(is_leaf[x], 1)).alias(f"df{i}") for i, x in enumerate(known)))
     stats = df.crossJoin(index.docs.agg(F.count("*").alias("n_docs")))
     if features_too:
         fields = sorted({x[0] for x in known})

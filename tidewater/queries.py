@@ -33,7 +33,8 @@ def query(name: str, sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return D.spread(rows) if table == "documents" else rows
 
 
 MAPPING = {"mappings": {"text": {"type": "text", "boost": 1.5, "position_decay": 0.5}, "lang": {"type": "keyword", "boost": 2.0}, "source": {"type": "keyword", "stored": True}}, "store_doc_quality": True}

@@ -13,6 +13,16 @@ from tidewater.operators.postings import weight_column
 from tidewater.plans.schema import Schema
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A frame straight from a scan, over as many partitions as there are cores at least.
+
+    A small table may lie in one row group, which one task would read and analyze alone. Large inputs have more splits than cores
+    and stay as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def typed(lines: DataFrame, schema: Schema, value: str = "value", extras: bool = True) -> DataFrame:
     """JSON lines to (other columns, _id, the schema's fields[, weights, _quality]).
 
