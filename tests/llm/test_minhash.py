@@ -57,6 +57,22 @@ def test_equals_brute_force(spark, seed):
     assert closed(got) == brute(rows, 28)
 
 
+def test_all_pairs_of_members(spark):
+    """Copies of one text next to near copies of it, that have copies themselves: every pair comes out, not only those of the heads."""
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join(base[:-1] + ["other"])
+    rows = [(i, " ".join(base)) for i in (1, 4, 6, 9)] + [(i, near) for i in (2, 5, 7)] + [(11, " ".join(["first"] + base[1:]))]
+    # two classes with the same least id
+    rows += [(20, "alpha beta"), (21, "alpha beta"), (20, " ".join(f"v{i}" for i in range(60))), (22, " ".join(f"v{i}" for i in range(59)))]
+    got = [tuple(r) for r in M.near_duplicates(frame(spark, rows)).collect()]
+    assert len(got) == len({r[:2] for r in got}) == 8 * 7 // 2 + 2
+    assert {r[:2]: r[2] for r in got} == brute(rows, 28)
+    # one id with two texts that are near copies: once a pair, the nearest text counts
+    twice = [(1, " ".join(base)), (1, near), (3, " ".join(base)), (2, near)]
+    got = sorted(tuple(r) for r in M.near_duplicates(frame(spark, twice)).collect())
+    assert [r[:2] for r in got] == [(1, 2), (1, 3), (2, 3)] and got[0][2] == got[1][2] == 64 > got[2][2]
+
+
 def test_edge_cases(spark):
     long = "lorem " + " ".join(f"x{i}" for i in range(200_000))
     rows = [(1, None), (2, ""), (3, "?!"), (None, "a b c"), (4, "One word."), (5, "one WORD"), (5, "one WORD"), (6, long), (7, long + " end"), (8, "solo"), (8, "other text here")]

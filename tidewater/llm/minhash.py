@@ -9,10 +9,11 @@ long, only the first K - T + 1 are merged: two documents that agree T times shar
 one of these (prefix), so the long lists are skipped, and for the pairs found
 their coordinates are compared directly, which gives the exact count.
 
-Documents of one signature are one class with its least document as the head: the
-pairs returned are (head, member) inside classes and (head, head) between them.
-That is all information on all pairs, yet the n copies of one text yield n - 1
-rows instead of n * n / 2.
+Documents of one signature are one class, and only classes are posted and joined.
+What comes out are all pairs of documents: a pair of classes is opened into the
+pairs of their members, a class into the pairs within it, so n copies of one text
+yield n * (n - 1) / 2 rows. near_dedup needs no more than who is linked to whom and
+takes the pairs of classes with the members behind their heads.
 """
 
 from __future__ import annotations
@@ -188,33 +189,53 @@ def _matches(k: int, need: int):
 
 
 def classes(docs: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, head, sig): every distinct id with its signature and the least id that has this signature."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sig").orderBy("id")
+    """(cls, sig, ids): every distinct signature with a number of its own and the distinct ids that have it, in order."""
     sigs = signatures(docs, k, shingle, id_col, text)
-    return sigs.select("id", "sig", F.first("id").over(w).alias("head"), F.lag("id").over(w).alias("before")).where("before is null or before != id").select("id", "head", "sig")
+    return sigs.groupBy("sig").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.monotonically_increasing_id().alias("cls"), "sig", "ids")
+
+
+def _class_pairs(found: DataFrame, k: int, need: int) -> DataFrame:
+    """(doc_a, doc_b, matches) over the numbers of the classes: those whose signatures agree in at least need coordinates."""
+    heads = found.select(F.col("cls").alias("id"), "sig")
+    lists = heads.mapInArrow(_postings(k), "key bigint, id bigint").repartition("key").mapInArrow(_shared_lists, "id bigint, key bigint, size bigint")
+    prefix = lists.repartition("id").mapInArrow(_prefix(need), "id bigint, keys array<bigint>, mask bigint")
+    posted = prefix.join(heads, "id").select(F.explode("keys").alias("key"), "id", "mask", "sig").repartition("key")
+    return posted.mapInArrow(_matches(k, need), "doc_a bigint, doc_b bigint, matches int")
+
+
+def _need(k: int, threshold: float) -> int:
+    return max(1, int(np.ceil(threshold * k - 1e-9)))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b, matches): pairs whose signatures agree in at least threshold * k coordinates.
+    """(doc_a, doc_b, matches): all pairs whose signatures agree in at least threshold * k coordinates, doc_a < doc_b, a row each.
 
-    Pairs come as (head, member) inside a class of equal signatures and (head, head) between classes, doc_a < doc_b. Nothing is
-    capped or sampled: against brute force over the same signatures the result is exact. Rows with a null id, and texts that are
-    null, empty or without a word, have no pairs. A repeated row counts once; different texts under one id never pair with each
-    other. An empty table gives no rows. Other columns are not read, so their names don't matter. k is at most 64.
+    Nothing is capped or sampled: against brute force over the same signatures the result is exact. Rows with a null id, and texts
+    that are null, empty or without a word, have no pairs. A repeated row counts once; different texts under one id never pair with
+    each other, and with another id the nearest of them counts. An empty table gives no rows. Other columns are not read, so their
+    names don't matter. k is at most 64.
     """
-    need = max(1, int(np.ceil(threshold * k - 1e-9)))
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark)
+    scratch = C.Scratch(docs.sparkSession)
     found = scratch.cut(classes(docs, k, shingle, id_col, text))
-    heads = found.where("id = head").select("id", "sig")
-    lists = heads.mapInArrow(_postings(k), "key bigint, id bigint").repartition("key").mapInArrow(_shared_lists, "id bigint, key bigint, size bigint")
-    prefix = lists.repartition("id").mapInArrow(_prefix(need), "id bigint, keys array<bigint>, mask bigint")
-    posted = prefix.join(heads, "id").select(F.explode("keys").alias("key"), "id", "mask", "sig").repartition("key")
-    between = posted.mapInArrow(_matches(k, need), "doc_a bigint, doc_b bigint, matches int")
-    within = found.where("id != head").select(F.col("head").alias("doc_a"), F.col("id").alias("doc_b"), F.lit(k).alias("matches"))
-    return between.unionByName(within)
+    ids = found.select("cls", "ids")
+    between = _class_pairs(found, k, _need(k, threshold)).join(ids.toDF("doc_a", "xs"), "doc_a").join(ids.toDF("doc_b", "ys"), "doc_b")
+    within = ids.where("size(ids) > 1").select(F.lit(k).alias("matches"), F.col("ids").alias("xs"), F.col("ids").alias("ys"), F.lit(True).alias("same"))
+    both = between.select("matches", "xs", "ys", F.lit(False).alias("same")).unionByName(within).select("matches", F.explode("xs").alias("x"), "ys", "same")
+    pairs = both.select("matches", "x", F.explode("ys").alias("y"), "same").where("x < y or x > y and not same")
+    out = pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches")
+    if ids.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").head(1):
+        out = out.groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
+    return out
+
+
+def linked(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_a, doc_b): as few of the pairs of near_duplicates as link the same documents, each class by its least id."""
+    scratch = C.Scratch(docs.sparkSession)
+    found = scratch.cut(classes(docs, k, shingle, id_col, text))
+    heads = found.select("cls", F.col("ids")[0].alias("head"))
+    between = _class_pairs(found, k, _need(k, threshold)).join(heads.toDF("doc_a", "a"), "doc_a").join(heads.toDF("doc_b", "b"), "doc_b")
+    within = found.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"))
+    return between.select("a", "b").unionByName(within).toDF("doc_a", "doc_b")
 
 
 def components(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -236,12 +257,12 @@ def components(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each group linked by near_duplicates, directly or through others, the document of the least id stays.
+    """docs without the near copies: of each group of near_duplicates, linked directly or through others, the document of the least id stays.
 
     Rows with a null id and texts without a word are copies of nothing and stay. Rows under one id stand or fall together. An empty
     table stays empty; other columns pass through whatever their names.
     """
     scratch = C.Scratch(docs.sparkSession)
-    gone = components(near_duplicates(docs, k, threshold, shingle, id_col, text), scratch)
+    gone = components(linked(docs, k, threshold, shingle, id_col, text), scratch)
     own = C.free_name(docs, "tw_gone")
     return docs.join(gone.select(F.col("id").alias(own)), F.col(id_col).cast("bigint") == F.col(own), "left_anti")
