@@ -86,6 +86,26 @@ def test_weights_are_met(spark):
     assert got["a"] == 2000 and got["b"] == got["c"] == 1000
 
 
+def test_a_scarce_source_does_not_bind_the_others():
+    rows = {f"s{i:02}": 770_000 for i in range(20)}
+    blocks = lambda x: {s: max(1, round(n / 32)) for s, n in x.items()}
+    for more in ({}, {"tiny": 100}, {None: 1}, {"tiny": 100, None: 1}):
+        every = rows | more
+        take = M.quotas(blocks(every), {s: n**M.ALPHA for s, n in every.items()}, 1.0)
+        assert all(take[s] == blocks(more)[s] for s in more) and all(0.999 < take[s] / blocks(rows)[s] <= 1 for s in rows)
+    assert M.quotas({"a": 10, "b": 100, "c": 90}, {"a": 1, "b": 1, "c": 2}, 0.5) == {"a": 10, "b": 25, "c": 50}
+    assert M.quotas({"a": 1, "b": 1, None: 1}, {"a": 1, "b": 3, None: 4}, 1.0) == {"a": 1, "b": 1, None: 1}
+
+
+def test_query_keeps_the_corpus_beside_a_scarce_source(spark, tmp_path):
+    from tidewater.llm.queries import QUERIES
+
+    rows = [(i, f"s{i % 4}") for i in range(4 * 640)] + [(9000 + i, "tiny") for i in range(20)] + [(9999, None)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter(r.source for r in QUERIES["op9_mix_sources"](spark, str(tmp_path)).select("source").collect())
+    assert got["tiny"] == 20 and got[None] == 1 and all(got[f"s{k}"] > 0.9 * 640 for k in range(4))
+
+
 def test_edge_cases(spark):
     rows = [(None, "a")] * 5 + [(1, "a"), (1, "a"), (2, None), (3, None), (4, "")]
     docs = frame(spark, rows)

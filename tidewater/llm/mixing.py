@@ -1,8 +1,9 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 The rows of a source, in the order of a hash of their id, are cut into blocks of
-equal size (to one row). Target weights and the scarcest source give each source
-an exact quota of blocks. The quotas belong to the root of a binary tree over the
+equal size (to one row). Target weights and a total give each source an exact quota
+of blocks: the total is what the scarcest source allows at these weights, or a share
+of the corpus, of which a source too scarce for its part gives all it has. The quotas belong to the root of a binary tree over the
 output shards; at each node the left half's share of every source is one draw from
 the multivariate hypergeometric distribution, seeded by the node, so any task can
 walk from the root to its shard and all agree. A shard draws its quota as the next
@@ -27,16 +28,23 @@ ALPHA = 0.5
 SEED = 20
 
 
-def quotas(blocks: dict, weights: dict) -> dict:
-    """Blocks to take of each source: as many in all as the scarcest source allows at these weights, shared out by largest remainders (ties by source name)."""
+def quotas(blocks: dict, weights: dict, share: float | None = None) -> dict:
+    """Blocks to take of each source: a total shared out at these weights, by largest remainders (ties by source name).
+
+    The total is as many as the scarcest source allows; with share, this share of all blocks of the weighted sources. Then a source
+    that has fewer than its part gives all of them, and what it lacks isn't taken from others, so it doesn't bind their quotas.
+    """
     names = sorted((s for s in blocks if weights.get(s, 0) > 0 and blocks[s]), key=lambda s: (s is None, s or ""))
     total = sum(weights[s] for s in names)
     if not names:
         return {}
-    size = int(min(blocks[s] * total / weights[s] for s in names) + 1e-9)
+    size = int((min(blocks[s] * total / weights[s] for s in names) if share is None else share * sum(blocks[s] for s in names)) + 1e-9)
     exact = {s: size * weights[s] / total for s in names}
     out = {s: int(exact[s] + 1e-9) for s in names}
-    for s in sorted(names, key=lambda s: (out[s] - exact[s], s is None, s or ""))[: size - sum(out.values())]:
+    left = size - sum(out.values())
+    out = {s: min(out[s], blocks[s]) for s in names}
+    open_ = names if share is None else [s for s in names if out[s] < blocks[s]]
+    for s in sorted(open_, key=lambda s: (out[s] - exact[s], s is None, s or ""))[:left]:
         out[s] += out[s] < blocks[s]
     return out
 
@@ -85,7 +93,7 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def plan(spark, rows: dict, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> tuple[DataFrame, dict, int]:
+def plan(spark, rows: dict, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED, share: float | None = None) -> tuple[DataFrame, dict, int]:
     """((source_at, block, shard), blocks by source, number of shards). source_at: the source's place in sorted order.
 
     rows: documents by source. The tree is walked where the shards are, by tasks over the shard numbers.
@@ -93,7 +101,7 @@ def plan(spark, rows: dict, weights: dict | None = None, alpha: float = ALPHA, b
     names = sorted(rows, key=lambda s: (s is None, s or ""))
     blocks = {s: max(1, round(rows[s] / block_rows)) for s in names}
     weights = {s: rows[s] ** alpha for s in names} if weights is None else weights
-    take = quotas(blocks, weights)
+    take = quotas(blocks, weights, share)
     quota = np.array([take.get(s, 0) for s in names], np.int64)
     if quota.sum() >= 10**9:
         raise ValueError("more than 10**9 blocks to draw: choose larger blocks")
@@ -114,11 +122,11 @@ def plan(spark, rows: dict, weights: dict | None = None, alpha: float = ALPHA, b
     return out, blocks, shards
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED, id_col: str = "doc_id", source: str = "source", placed: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, block_rows: int = BLOCK_ROWS, shard_rows: int = SHARD_ROWS, seed: int = SEED, id_col: str = "doc_id", source: str = "source", placed: bool = False, share: float | None = None) -> DataFrame:
     """The drawn rows of docs, shard by shard in shuffled order; with placed also shard and slot (the place in the shard).
 
     weights: target weight by source; without them a source weighs its rows to the power alpha. Sources that have no weight are
-    left out. A null source is a source of its own, under the key None. Rows of a null id count as rows like any others (they
+    left out. share: as in quotas; without it the weights are met exactly and one scarce source makes the whole draw small. A null source is a source of its own, under the key None. Rows of a null id count as rows like any others (they
     hash alike, so blocks hold them together). Repeated rows are separate rows. An empty table stays empty. Text isn't looked at,
     and columns of other names pass through. The counts by source come to the driver: a few numbers a source.
     """
@@ -128,7 +136,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, alpha: float = ALP
     rows = {r[0]: r[1] for r in docs.groupBy(name.alias("s")).agg(F.count("*")).collect()}
     if not rows:
         return docs.withColumns({"shard": F.lit(0).cast("bigint"), "slot": F.lit(0)}) if placed else docs
-    drawn, blocks, _ = plan(spark, rows, weights, alpha, block_rows, shard_rows, seed)
+    drawn, blocks, _ = plan(spark, rows, weights, alpha, block_rows, shard_rows, seed, share)
     names = sorted(rows, key=lambda s: (s is None, s or ""))
     facts = spark.createDataFrame([("0" if s is None else "1" + s, i, rows[s], blocks[s]) for i, s in enumerate(names)], "s string, source_at int, n bigint, blocks bigint")
     bits = max(1, (sum(rows.values()) // 2048).bit_length())

@@ -59,7 +59,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_mix_sources")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True)
+    return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True, share=1.0)
 
 
 @query("op7_bpe_encode")
