@@ -64,6 +64,21 @@ def test_edge_cases(spark):
     assert L.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_long_single_lines(spark):
+    """A long line between lines that differ, and as a whole document; a run of two lines beside it goes as before."""
+    import corpus_pipeline
+
+    long, other = " ".join(f"w{i}" for i in range(50)), "\t".join(f"v{i}" for i in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n\n{long}\nd\n{other}"), (3, long), (4, f"e\n{other}\nf"), (5, f"g\n{long}\n{long}\nb"), (6, f"{long} more"), (None, f"h\n{long}"), (8, f"{long}\nb\ni")]
+    docs = frame(spark, rows)
+    want = [(1, f"a\n{long}\nb"), (2, f"c\n\nd\n{other}"), (4, f"e\n{other}\nf"), (5, "g"), (6, f"{long} more"), (8, "i"), (None, "h")]
+    for out in (L.line_dedup(docs), corpus_pipeline.line_stage(spark, docs, "")):
+        got = [(r.doc_id, r.text, r.n_chars) for r in out.collect()]
+        assert sorted(got, key=repr) == sorted(((i, t, len(t)) for i, t in want), key=repr)
+    # without them, runs of two lines alone
+    assert L.line_dedup(docs, long_words=None).where("doc_id = 3").count() == 1
+
+
 def test_array_is_sorted(spark):
     rows = [(1, "b\na\nb\na\nc"), (2, "a\nb\na"), (3, "c\nq")]
     seqs, state = L.suffix_array(frame(spark, rows), 2)

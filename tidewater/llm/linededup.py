@@ -14,7 +14,8 @@ the common prefix of neighbours is at least L. The earliest copy in the order
 (doc_id, text hash, line) stays; the L lines that each later one begins with go. As
 every later copy of a maximal repeated run of at least L lines is the union of such
 blocks, this deletes precisely the later copies of all of them. Common prefixes of
-neighbours in the array, whole, give the maximal runs' lengths.
+neighbours in the array, whole, give the maximal runs' lengths. A line of LONG_WORDS
+words counts as a run by itself: its later copies go wherever they stand.
 """
 
 from __future__ import annotations
@@ -31,35 +32,45 @@ from tidewater.llm import common as C
 from tidewater.llm.quality import lines_of
 
 MIN_LINES = 2
+LONG_WORDS = 50
 KEY = ("doc_id", "th")
 _BLANK = np.isin(np.arange(256), [*b" \t\r\v\f"])
 
 
-def _line_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Identities and numbers of the lines that aren't blank, and where each document's begin."""
+def _line_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Identities, numbers and words of the lines that aren't blank, and where each document's begin."""
     starts, ends, per = lines_of(data, offsets)
-    filled = np.concatenate(([0], np.cumsum(~_BLANK[data] & (data != 10))))
+    full = ~_BLANK[data] & (data != 10)
+    filled = np.concatenate(([0], np.cumsum(full)))
+    begins = full.copy()
+    begins[1:] &= ~full[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    begins[heads] = full[heads]
+    word = np.concatenate(([0], np.cumsum(begins)))
     alive = np.flatnonzero(filled[ends] > filled[starts])
     view = memoryview(np.ascontiguousarray(data))
     ids = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[alive].tolist(), ends[alive].tolist())), np.uint64, len(alive)).view(np.int64)
     first = np.concatenate(([0], np.cumsum(per)))
     cuts = np.searchsorted(alive, first).astype(np.int32)
-    return ids, (alive - np.repeat(first[:-1], np.diff(cuts))).astype(np.int32), cuts
+    return ids, (alive - np.repeat(first[:-1], np.diff(cuts))).astype(np.int32), (word[ends] - word[starts])[alive], cuts
 
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, th, lines, at): identities and numbers of the lines that aren't blank, one row for each distinct (doc_id, text)."""
+def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", long_words: int | None = LONG_WORDS) -> DataFrame:
+    """(doc_id, th, lines, at, long): identities and numbers of the lines that aren't blank, and the places among them of those of long_words words; one row for each distinct (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = C.utf8(batch.column(2))
             for a, b in C.pieces(offsets):
-                ids, number, cuts = _line_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                ids, number, words, cuts = _line_ids(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 offs = pa.array(cuts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(offs, pa.array(ids)), pa.ListArray.from_arrays(offs, pa.array(number))], ["doc_id", "th", "lines", "at"])
+                big = np.flatnonzero(words >= long_words) if long_words else np.zeros(0, np.int64)
+                begin = np.searchsorted(big, cuts)
+                places = pa.array((big - np.repeat(cuts[:-1], np.diff(begin))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.ListArray.from_arrays(offs, pa.array(ids)), pa.ListArray.from_arrays(offs, pa.array(number)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), places)], ["doc_id", "th", "lines", "at", "long"])
 
     keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), C.text_key(text).alias("th"), F.col(text).alias("text"))
-    return keyed.mapInArrow(run, "doc_id bigint, th bigint, lines array<bigint>, at array<int>").where("size(lines) > 0").dropDuplicates([*KEY])
+    return keyed.mapInArrow(run, "doc_id bigint, th bigint, lines array<bigint>, at array<int>, long array<int>").where("size(lines) > 0").dropDuplicates([*KEY])
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
@@ -87,14 +98,14 @@ def doubled(state: DataFrame, k: int) -> DataFrame:
     return ahead.withColumns({"next": F.col("rank") + rank - 1, "live": ~lone & (same > 1)}).select(*KEY, "i", "block", F.col("next").alias("rank"), "live")
 
 
-def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text", scratch: C.Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text", scratch: C.Scratch | None = None, long_words: int | None = LONG_WORDS) -> tuple[DataFrame, DataFrame]:
     """(sequences, (doc_id, th, i, rank, block)) of the suffixes that begin with a repeated line.
 
     rank is the place in the suffix array. block is the rank by the first min_lines lines, the left end of the suffix's interval,
     or null where no other suffix shares these.
     """
     scratch = scratch or C.Scratch(docs.sparkSession)
-    seqs = scratch.cut(sequences(docs, id_col, text))
+    seqs = scratch.cut(sequences(docs, id_col, text, long_words))
     lines = seqs.select(*KEY, F.posexplode("lines").alias("i", "line"))
     state = first_ranks(lines).withColumns({"block": F.lit(None).cast("bigint"), "live": F.lit(True)})
     k, old = 1, None
@@ -123,6 +134,14 @@ def later_copies(state: DataFrame, min_lines: int) -> DataFrame:
     return blocks.join(first, "block").where(place != F.col("first")).select(*KEY, "i")
 
 
+def later_long_lines(seqs: DataFrame) -> DataFrame:
+    """(doc_id, th, i): the long lines that are also earlier in the corpus. The earliest copy is in no later copy of a run, so it stays."""
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th", "i")
+    lines = seqs.select(*KEY, "lines", F.explode("long").alias("i")).select(*KEY, "i", F.get("lines", "i").alias("line"))
+    first = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return lines.join(first, "line").where(place != F.col("first")).select(*KEY, "i")
+
+
 def longest_common(seqs: DataFrame, state: DataFrame) -> DataFrame:
     """(rank, doc_id, th, i, lcp): for each place of the suffix array the common prefix with the suffix before it, where it has two lines or more.
 
@@ -159,18 +178,20 @@ def longest_common(seqs: DataFrame, state: DataFrame) -> DataFrame:
     return full.where("lcp > 1").select("rank", F.when(~F.col("za"), F.col("da")).alias("doc_id"), F.col("ta").alias("th"), F.col("ia").alias("i"), F.when(~F.col("zb"), F.col("db")).alias("before_id"), F.col("tb").alias("before_th"), F.col("ib").alias("before_i"), "lcp")
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text", with_runs: bool = False) -> DataFrame:
-    """docs without the later copies of repeated runs of at least min_lines lines; n_chars, if it is a column, is kept true.
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text: str = "text", with_runs: bool = False, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """docs without the later copies of repeated runs of at least min_lines lines, and of single lines of at least long_words words; n_chars, if it is a column, is kept true.
 
-    Lines are compared exactly, blank ones are passed over and stay. "Later" is by (doc_id with null last, hash of the text, line).
+    Words are what stands between blanks; with long_words None single lines stay however long. Lines are compared exactly, blank ones are passed over and stay. "Later" is by (doc_id with null last, hash of the text, line).
     Rows equal in doc_id and text are one document delivered several times: each gets the same result, and they aren't copies of
     one another. A document whose every line that isn't blank is deleted goes; null, empty and blank texts stay as they are. An
     empty table stays empty. Extra columns pass through whatever their names. with_runs adds lines_deleted and longest_run, the
     most lines of a repeated run that begins in the document, be it the first copy or a later one (0 if no run has two lines).
     """
     scratch = C.Scratch(docs.sparkSession)
-    seqs, state = suffix_array(docs, min_lines, id_col, text, scratch)
+    seqs, state = suffix_array(docs, min_lines, id_col, text, scratch, long_words)
     marks = later_copies(state, min_lines).select(*KEY, F.explode(F.sequence("i", F.col("i") + min_lines - 1)).alias("i"))
+    if long_words:
+        marks = marks.unionByName(later_long_lines(seqs))
     gone = marks.groupBy(*KEY).agg(F.collect_set("i").alias("gone"))
     if with_runs:
         pairs = longest_common(seqs, state)

@@ -54,7 +54,7 @@ WHERE lost.m IS NULL OR lost.m < held.m
 """,
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(read(spark, sf_dir, "documents"), with_runs=True)
+    return linededup.line_dedup(read(spark, sf_dir, "documents"), with_runs=True, long_words=None)
 
 
 @query("op9_mix_sources")
