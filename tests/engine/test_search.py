@@ -213,6 +213,24 @@ def test_pool_and_training(spark, tmp_path):
     assert np.argmax(np.abs(model.weights)) == 3
 
 
+def test_pool_without_a_cap(spark, tmp_path, monkeypatch):
+    from tidewater import queries
+
+    rows = docs(40, 3)
+    index = index_of(spark, rows)
+    query = "river OR harbor OR stone OR light"
+    matching = {r._id for r in S.candidates(index, Q.parse(query, "body")).join(index.docs, ["seg", "doc"]).collect()}
+    judged = spark.createDataFrame([(query, r[0], i, 0) for i, r in enumerate(rows)], "query string, doc_id string, label int, query_id int")
+    scored = lambda n: {rows[r.label][0]: tuple(r[2:]) for r in pools.pool(index, judged, "body", n).collect() if any(r[2:])}
+    every = scored(None)
+    assert len(matching) > 5 and set(every) == matching and every == scored(1000) and len(scored(5)) == 5
+    # the query asks for no cap
+    caps = []
+    monkeypatch.setattr(queries, "pool", lambda index, judged, field, top_n=1000: caps.append(top_n) or pools.pool(index, judged, field, top_n))
+    queries.QUERIES["j9_pool"](spark, "/root/testdata/sf0.001")
+    assert caps == [None]
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "z", 3), ("b", "x", 1)], "query_id string, id string, rank int")
     judged = spark.createDataFrame([("a", "y", 3), ("a", "q", 1), ("b", "x", 0), ("c", "x", 2)], "query_id string, id string, label int")

@@ -12,8 +12,8 @@ from tidewater.operators.postings import Index
 from tidewater.plans import query as Q
 
 
-def pool(index: Index, judgments: DataFrame, default_field: str | None = None, top_n: int = 1000) -> DataFrame:
-    """(label, query_id, f0 .. f18), a row for each judgment (query, doc_id, label, query_id); documents not among their query's best top_n have zeros.
+def pool(index: Index, judgments: DataFrame, default_field: str | None = None, top_n: int | None = 1000) -> DataFrame:
+    """(label, query_id, f0 .. f18), a row for each judgment (query, doc_id, label, query_id); documents not among their query's best top_n have zeros; with top_n None those that don't match.
 
     The different queries come to the driver, where they are parsed, and are searched in one plan; those that can't be read are left
     out with their judgments. Of several documents under one identifier the best counts.
@@ -27,7 +27,7 @@ def pool(index: Index, judgments: DataFrame, default_field: str | None = None, t
         except InvalidArgument:
             pass
     found = search.search_many(index, readable, field, top_n, collect_features=True).join(index.docs.select("seg", "doc", "_id"), ["seg", "doc"])
-    best = Window.partitionBy("query_id", "_id").orderBy("rank")
+    best = Window.partitionBy("query_id", "_id").orderBy(F.desc("score"), "seg", "doc")  # as by rank, which no cap leaves unneeded
     found = found.withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("query_id").alias("query"), F.col("_id").alias("doc_id"), "features")
     known = judgments.sparkSession.createDataFrame([r[:1] for r in readable], "query string")
     columns = [F.coalesce(F.get("features", F.lit(i)), F.lit(0.0).cast("float")).alias(f"f{i}") for i in range(COUNT)]

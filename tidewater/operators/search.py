@@ -205,8 +205,8 @@ def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list,
     return leaf_rows, mask_rows, all_rows
 
 
-def search_many(index: Index, queries: list[tuple], default_field: str | None = None, top: int = 10, k1: float = scoring.K1, collect_features: bool = False) -> DataFrame:
-    """(query_id, rank, seg, doc, score[, features]) of the best documents of each (query_id, text), in one plan for all.
+def search_many(index: Index, queries: list[tuple], default_field: str | None = None, top: int | None = 10, k1: float = scoring.K1, collect_features: bool = False) -> DataFrame:
+    """(query_id, rank, seg, doc, score[, features]) of the best documents of each (query_id, text), in one plan for all; with top None of all that match.
 
     Leaves of all queries are joined to the postings once; a query is the masks of leaves of which one must be there whole. Query
     ids are strings and must be different. Queries that can't be read raise InvalidArgument. At most 63 different leaves a query.
@@ -239,4 +239,5 @@ def search_many(index: Index, queries: list[tuple], default_field: str | None =
         extra = [F.array(*features.columns([], F.col("quality"), k1)).alias("features")] if collect_features else []
         scored = scored.unionByName(spark.createDataFrame(all_rows, "query_id string").crossJoin(index.docs.select("seg", "doc", F.lit(0.0).alias("score"), *extra)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seg", "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", "rank", "seg", "doc", "score", *(["features"] if collect_features else []))
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("query_id", "rank", "seg", "doc", "score", *(["features"] if collect_features else []))

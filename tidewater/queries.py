@@ -452,7 +452,7 @@ _POOL_SQL = _features_sql().replace("SELECT doc AS doc_id,", "SELECT doc AS doc_
 @query("j9_pool", f"WITH f AS ({_POOL_SQL}), l AS (SELECT doc_id, max(quality) AS label FROM labels GROUP BY doc_id) SELECT l.label, 3 AS query_id, " + ", ".join(f"coalesce({n}, 0.0) AS f{i}" for i, n in enumerate(features.NAMES)) + " FROM l LEFT JOIN f USING (doc_id)")
 def j9(spark, sf_dir):
     judged = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).select(F.lit("that OR lang:en OR was OR that").alias("query"), F.col("doc_id").cast("string").alias("doc_id"), "label", F.lit(3).alias("query_id"))
-    rows = pool(documents_index(spark, sf_dir, quality=True), judged, "text", 100_000)
+    rows = pool(documents_index(spark, sf_dir, quality=True), judged, "text", None)
     return rows.select("label", "query_id", *(F.round(F.col(f"f{i}").cast("double"), 4).alias(f"f{i}") for i in range(features.COUNT)))
 
 
