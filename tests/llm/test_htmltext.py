@@ -111,6 +111,18 @@ def test_forgiving_parse():
     assert H.extract("<a<a" * 20000)[0] == ""
 
 
+@pytest.mark.parametrize("tag", ["<a title=it's>", '<div class="a"">', '<div class="a>', "<i b = 'c' d'>", '<b x=y"z>', '<b "x>', "<b title='a>b\" c=\"d>e'>"])
+@pytest.mark.parametrize("rest", ["", " it's", ' 5" and 6"'])
+def test_stray_quotes_end_with_the_tag(tag, rest):
+    """Tags with a quote too many or too few keep the page's text, whether or not another quote follows."""
+    if tag == '<div class="a>' and '"' in rest:
+        rest = ""  # there the value goes on to the next quote, as in browsers
+    names = H.parse(f"<body><p>one</p>{tag}two<p>three{rest}</p>").names
+    text = H.extract(f"<body><p>one</p>{tag}two<p>three{rest}</p>")
+    assert names == ["#root", "body", "p", tag[1:].split()[0], "p"]
+    assert [x for _, x, _ in H.parse(f"<body><p>one</p>{tag}two<p>three{rest}</p>").text] == ["one", "two", f"three{rest}"] and text
+
+
 def test_rows(spark):
     rows = [(1, None, "e"), (2, "", "e"), (3, "just text", "e"), (3, "just text", "e"), (None, "<script>x</script>", "e"), (4, "<p>" + "long " * 300_000, "e")]
     got = {(r.page_id, r.text if r.page_id != 4 else len(r.text), r.n_chars) for r in H.extract_pages(spark.createDataFrame(rows, "page_id bigint, html string, text string")).collect()}

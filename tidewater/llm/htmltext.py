@@ -32,7 +32,8 @@ ENDS = {"p": BLOCK - {"br", "body", "html", "head", "td", "th", "tr", "tbody", "
 DEPTH = 512
 #: Where the search for an element that ends by itself stops.
 SCOPE = frozenset("table ul ol dl div article section main body html td th blockquote".split())
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in RAW | {"textarea", "title"}}
 
 
@@ -46,7 +47,7 @@ class Tree:
 
 
 def parse(html: str) -> Tree:
-    """A forgiving parse: elements that may end by themselves do, ends without a start are passed over, what is open at the end is closed. A tag that isn't finished swallows the rest."""
+    """A forgiving parse: elements that may end by themselves do, ends without a start are passed over, what is open at the end is closed. Quotes delimit right after '=' alone; a tag that finds no end with them ends at the next '>', and one without any swallows the rest."""
     tree = Tree()
     names, parent, text = tree.names, tree.parent, tree.text
     stack = [0]
@@ -58,7 +59,7 @@ def parse(html: str) -> Tree:
             break
         if lt > at:
             text.append((stack[-1], html[at:lt], len(names)))
-        m = _TAG.match(html, lt)
+        m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
         if m is None:
             after = html[lt + 1 : lt + 2]
             if html.startswith("<!--", lt):
