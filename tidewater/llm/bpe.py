@@ -31,7 +31,9 @@ WINDOW = 16
 #: A chunk has 512 bytes on average, and 64 at least.
 CUT_BITS, LEAST = 9, 64
 #: Bytes of chunks in each of the two generations of a worker's dictionary. A chunk that has been forgotten is encoded again: the bound costs time, never results.
-KEPT_BYTES = 12 << 20
+KEPT_BYTES = 6 << 20
+#: Bytes of text that are hashed and cut at a time (a longer text alone); it bounds a worker's memory, not the result.
+PIECE = 1 << 18
 
 
 @lru_cache(2)
@@ -55,17 +57,25 @@ def lengths(path: str = VOCABULARY) -> list[int]:
     return out
 
 
+def hash_cuts(data: np.ndarray) -> np.ndarray:
+    """Places before which the polynomial hash of WINDOW bytes, found by doubling the width, has low bits of zero; PIECE bytes at a time, which bounds the memory and not the result."""
+    out = []
+    for at in range(0, max(len(data) - WINDOW, 0), PIECE):
+        h = data[at : at + PIECE + WINDOW - 1].astype(np.uint64) + np.uint64(1)
+        width = 1
+        while width < WINDOW:
+            with np.errstate(over="ignore"):
+                h = h[:-width] * np.uint64(pow(C.BASE_B, width, 1 << 64)) + h[width:]
+            width *= 2
+        end = np.flatnonzero((C.mix(h) & np.uint64((1 << CUT_BITS) - 1)) == 0) + at + WINDOW
+        out.append(end[end < len(data)])
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     """For each document the ends of its chunks, from its own start; the last is the document's end."""
-    n = len(data)
-    where = np.zeros(0, np.int64)
-    if n > WINDOW:
-        prefix = C.prefix_hashes(data.astype(np.uint64) + np.uint64(1), C.BASE_B)
-        end = np.arange(WINDOW, n)
-        power = np.uint64(pow(C.BASE_B, WINDOW, 1 << 64))
-        with np.errstate(over="ignore"):
-            h = C.mix(prefix[WINDOW:n] - prefix[: n - WINDOW] * power)
-        where = end[((h & np.uint64((1 << CUT_BITS) - 1)) == 0) & ((data[WINDOW:] & 0xC0) != 0x80)]
+    where = hash_cuts(data)
+    where = where[(data[where] & 0xC0) != 0x80]
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
         got, last = [], a
@@ -198,7 +208,7 @@ def encode_array(column: pa.Array, path: str = VOCABULARY, known: Chunks | None
     known, length = known or chunks(path), lengths(path)
     data, offsets = C.utf8(column)
     out = []
-    for a, b in C.pieces(offsets):
+    for a, b in C.pieces(offsets, PIECE):
         part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         bounds, all_ends = sure(part, off), cuts(part, off)
         blob, first = part.tobytes(), np.searchsorted(bounds, off).tolist()

@@ -107,18 +107,20 @@ def pieces(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that are kept of each base, 2 MB of them; longer tables are made for one use.
+KEPT_POWERS = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base to the 0 .. n - 1, modulo 2**64. Tables of ordinary size are kept."""
+    """base to the 0 .. n - 1, modulo 2**64."""
     kept = _POWERS.get(base)
     if kept is None or len(kept) < n:
-        kept = np.empty(max(n, CHUNK + 2), U64)
+        kept = np.empty(max(n, KEPT_POWERS), U64)
         kept[0] = 1
         kept[1:] = base
         with np.errstate(over="ignore"):
             np.multiply.accumulate(kept, out=kept)
-        if n <= CHUNK + 2:
+        if n <= KEPT_POWERS:
             _POWERS[base] = kept
     return kept[:n]
 
