@@ -21,7 +21,7 @@ WORD[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]] = Tru
 WORD[128:] = True
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Bytes of text that are hashed at a time; a single longer document is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Words that are hashed at a time: there are some numbers of 8 bytes for each of their bytes meanwhile.
 WORDS = 1 << 17
 
@@ -45,24 +45,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation of what came before. What isn't dropped goes when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at, self.live = spark, f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}", []
+        self.count = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        path = f"{self.at}/{len(self.live)}"
-        self.live.append(path)
+        path = f"{self.at}/{self.count}"
+        self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
+        self.live.append(path)
         return out
 
-    def drop(self, df: DataFrame) -> None:
+    def drop(self, df: DataFrame | str) -> None:
         """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        name = df if isinstance(df, str) else df._scratch
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.live = [x for x in self.live if x != name]
+
+    def clear(self, *kept: DataFrame) -> None:
+        """Deletes all tables but these."""
+        for name in self.live:
+            if name not in [x._scratch for x in kept]:
+                self.drop(name)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -78,9 +91,47 @@ def text_key(text: str = "text"):
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.lit(7), F.col(text))).otherwise(F.lit(0)).cast("bigint")
 
 
-def table_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
+def one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Numbers that are equal where the values are; nulls are equal."""
+    return one(column).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def order_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Numbers in the order of the values, equal where they are; nulls come last."""
+    return pc.rank(one(column), "ascending", null_placement="at_end", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that come sorted by these columns, each of about so many rows; a group that is larger comes alone."""
+    held: list[pa.RecordBatch] = []
+    size, enough = 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < enough:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(size - 1, bool)
+        for name in by:
+            a, b = table.column(name).slice(0, size - 1), table.column(name).slice(1)
+            new |= np.asarray(pc.fill_null(pc.not_equal(a, b), False)) | (np.asarray(pc.is_null(a)) != np.asarray(pc.is_null(b)))
+        cut = np.flatnonzero(new)
+        if len(cut):
+            yield table.slice(0, int(cut[-1]) + 1).combine_chunks()
+            held = table.slice(int(cut[-1]) + 1).to_batches()
+            size = sum(x.num_rows for x in held)
+        enough = max(rows, 2 * size)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

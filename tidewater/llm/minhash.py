@@ -6,14 +6,16 @@ coordinates agree. Posting lists of one document are dropped where they arise:
 they can't collide. A document left with fewer than T lists can't have a partner
 and goes too. Of the others, with the lists in one global order from short to
 long, only the first K - T + 1 are merged: two documents that agree T times share
-one of these (prefix), so the long lists are skipped, and for the pairs found
-their coordinates are compared directly, which gives the exact count.
-
-Documents of one signature are one class, and only classes are posted and joined.
-What comes out are all pairs of documents: a pair of classes is opened into the
-pairs of their members, a class into the pairs within it, so n copies of one text
-yield n * (n - 1) / 2 rows. near_dedup needs no more than who is linked to whom and
-takes the pairs of classes with the members behind their heads.
+one of these (prefix). While a list is merged, pairs that met in an earlier list are
+skipped, which leaves each pair one count; the coordinates of what is left are
+compared directly, which gives the exact number of collisions.
+
+Documents of one signature are one class, and only classes are posted and joined. A
+list of more than PART members is cut into parts, and each task merges two of them,
+so no task holds a list whole. What comes out of a task are for each member the number of
+documents it matches, and as few links as join the same members: never its pairs.
+Where only the links are asked for (near_dedup), members that are reached are compared
+no more, so a group of near copies costs its size, not the square of it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import common as C
@@ -30,6 +32,10 @@ from tidewater.llm import common as C
 K = 64
 THRESHOLD = 0.4375
 SHINGLE = 3
+#: Members of a list that one task takes from each of two parts; lists up to SMALL are compared pair by pair.
+PART, SMALL = 4096, 48
+#: Pairs that are compared at a time.
+PAIRS = 1 << 16
 
 
 def signatures_of(data: np.ndarray, offsets: np.ndarray, k: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,27 +72,23 @@ def signatures_of(data: np.ndarray, offsets: np.ndarray, k: int, shingle: int) -
 
 
 def signatures(docs: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id bigint, sig binary of k little-endian uint32) of every document with at least one word.
+    """(id, th, sig binary of k little-endian uint32) of every document with at least one word; th is the hash of the text, the id keeps its type.
 
     Documents with null or empty text, or without a word, have no shingle, so they are near copies of nothing and don't appear.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, has = signatures_of(*C.utf8(batch.column(1), lower=True), k, shingle)
+            sig, has = signatures_of(*C.utf8(batch.column(2), lower=True), k, shingle)
             rows = np.flatnonzero(has)
             flat = np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(-1)
             offs = (np.arange(len(rows) + 1) * 4 * k).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offs), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), blob], ["id", "sig"])
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), blob], ["id", "th", "sig"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).where("id is not null").mapInArrow(run, "id bigint, sig binary")
-
-
-def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of equal values in a sorted array."""
-    cut = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True])))
-    return cut[:-1], np.diff(cut)
+    keyed = docs.select(F.col(id_col).alias("id"), C.text_key(text).alias("th"), F.col(text).alias("text"))
+    return keyed.mapInArrow(run, f"id {keyed.schema['id'].dataType.simpleString()}, th bigint, sig binary")
 
 
 def _postings(k: int):
@@ -108,134 +110,167 @@ def _matrix(blobs: pa.Array | pa.ChunkedArray, k: int) -> np.ndarray:
     return np.frombuffer(blobs.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(np.uint32).reshape(len(blobs), k)
 
 
-def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of lists with at least two documents, with the list's length."""
-    table = C.table_of(batches)
-    if table is None:
-        return
-    key, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, ids = key[order], ids[order]
-    _, sizes = _groups(key)
-    size = np.repeat(sizes, sizes)
-    keep = size > 1
-    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(key[keep]), pa.array(size[keep].astype(np.int64))], ["id", "key", "size"])
-
-
-def _prefix(need: int):
-    """Of each document its shortest lists, as many as a partner can't avoid; documents with too few shared lists go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = C.table_of(batches)
-        if table is None:
-            return
-        ids, key, size = (table.column(i).to_numpy() for i in range(3))
-        order = np.lexsort((key, size, ids))
-        ids, key = ids[order], key[order]
-        at, count = _groups(ids)
-        rank = np.arange(len(ids)) - np.repeat(at, count)
-        keep = rank < np.repeat(count - need + 1, count)
-        ids, key = ids[keep], key[keep]
-        if not len(ids):
-            return
-        at, count = _groups(ids)
-        bits = np.bitwise_or.reduceat(np.uint64(1) << (key >> 32).astype(np.uint64), at).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate((at, [len(ids)])).astype(np.int32)), pa.array(key))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists, pa.array(bits)], ["id", "keys", "mask"])
-
-    return run
-
-
-def _matches(k: int, need: int):
-    """Counts the collisions of the pairs of each list, and reports a pair from the first prefix list it shares."""
+def roots(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label with the components of the links (x, y) joined; a component's label is its least member."""
+    while True:
+        a, b = label[x], label[y]
+        apart = np.flatnonzero(a != b)
+        if not len(apart):
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+
+
+class Merge:
+    """Merges the lists of one table of postings: links by component, and counts of matching documents if they are wanted."""
+
+    def __init__(self, ids: np.ndarray, sig: np.ndarray, mask: np.ndarray, bit: np.ndarray, part: np.ndarray, weight: np.ndarray, need: int, counted: bool):
+        self.ids, self.sig, self.mask, self.bit, self.part, self.weight, self.need, self.counted = ids, sig, mask, bit, part, weight, need, counted
+        self.label, self.links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        self.bits = np.uint64(1) << np.arange(sig.shape[1], dtype=np.uint64)
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Counts collisions of the pairs, and takes those with enough of them whose first common prefix list is this one."""
+        for at in range(0, len(x), PAIRS):
+            i, j = x[at : at + PAIRS], y[at : at + PAIRS]
+            same = self.sig[i] == self.sig[j]
+            ok = np.flatnonzero(same.sum(1) >= self.need)
+            i, j, same = i[ok], j[ok], same[ok]
+            both = (same * self.bits).sum(1, dtype=np.uint64) & self.mask[i] & self.mask[j]
+            own = np.flatnonzero((both & (~both + np.uint64(1))) == np.uint64(1) << self.bit[i])
+            i, j = i[own], j[own]
+            self.label = roots(self.label, i, j)
+            if self.counted:
+                np.add.at(self.links, i, self.weight[j])
+                np.add.at(self.links, j, self.weight[i])
+
+    def small(self, at: np.ndarray, size: np.ndarray) -> None:
+        """All lists of one size at once."""
+        for n in np.unique(size).tolist():
+            i, j = np.triu_indices(n, 1)
+            own = at[size == n]
+            for s in range(0, len(own), max(1, PAIRS // len(i))):
+                begin = own[s : s + max(1, PAIRS // len(i)), None]
+                x, y = (begin + i).reshape(-1), (begin + j).reshape(-1)
+                cross = (self.part[x] != self.part[y]) | self.alone[x]
+                self.compare(x[cross], y[cross])
+
+    def large(self, rows: np.ndarray) -> None:
+        """A list whose pairs are all counted. Pairs that share an earlier prefix list have been there, and are skipped."""
+        bit = int(self.bit[rows[0]])
+        for s in range(0, len(rows), 128):
+            x, y = rows[s : s + 128], rows[s:]
+            left = y[None, :] > x[:, None]
+            if not self.alone[rows[0]]:
+                left &= self.part[y][None, :] != self.part[x][:, None]
+            for c in range(bit):
+                mx, my = ((self.mask[r] >> np.uint64(c)) & np.uint64(1) > 0 for r in (x, y))
+                if mx.any() and my.any():
+                    left &= ~((self.sig[x, c][:, None] == self.sig[y, c][None, :]) & mx[:, None] & my[None, :])
+                    if left.sum() * 16 < left.size:
+                        break
+            i, j = np.nonzero(left)
+            self.compare(x[i], y[j])
+
+    def reach(self, rows: np.ndarray) -> None:
+        """A list of which only the components are wanted: what has been reached isn't compared with what is reached later."""
+        alone = bool(self.alone[rows[0]])
+        rest = rows
+        while len(rest):
+            root, rest = rest[0], rest[1:]
+            queue = np.array([root])
+            while len(queue) and len(rest):
+                now, queue = queue[:32], queue[32:]
+                count = np.zeros((len(now), len(rest)), np.uint8)
+                for c in range(self.sig.shape[1]):
+                    count += self.sig[now, c][:, None] == self.sig[rest, c][None, :]
+                near = count >= self.need
+                if not alone:
+                    near &= self.part[now][:, None] != self.part[rest][None, :]
+                hit = near.any(0)
+                if hit.any():
+                    new, rest = rest[hit], rest[~hit]
+                    self.label = roots(self.label, np.full(len(new), root), new)
+                    queue = np.concatenate((queue, new))
+
+    def run(self, at: np.ndarray, size: np.ndarray, alone: np.ndarray) -> None:
+        """at, size: of the lists; alone: for each member whether its list is in one part."""
+        self.alone = alone
+        few = (size > 1) & (size <= SMALL)
+        self.small(at[few], size[few])
+        for s, n in zip(at[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            (self.large if self.counted else self.reach)(np.arange(s, s + n))
+
+
+def _merged(k: int, need: int, counted: bool):
+    """(id, to, links) of the members that match another: to is the least member of the part of the list that it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = C.table_of(batches)
-        if table is None:
-            return
-        key, ids, mask = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy().view(np.uint64)
-        sig = _matrix(table.column(3), k)
-        order = np.lexsort((ids, key))
-        at, sizes = _groups(key[order])
-        bit = np.uint64(1) << np.arange(k, dtype=np.uint64)
-
-        def compare(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            same = sig[x] == sig[y]
-            count = same.sum(1)
-            ok = np.flatnonzero((count >= need) & (ids[x] != ids[y]))
-            x, y, same, count = x[ok], y[ok], same[ok], count[ok]
-            both = (same * bit).sum(1, dtype=np.uint64) & mask[x] & mask[y]
-            own = np.uint64(1) << (key[x] >> 32).astype(np.uint64)
-            first = (both & (~both + np.uint64(1))) == own
-            a, b = ids[x[first]], ids[y[first]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(count[first].astype(np.int32))], ["doc_a", "doc_b", "matches"])
-
-        xs: list[np.ndarray] = []
-        ys: list[np.ndarray] = []
-        held = 0
-        for s, n in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
-            rows = order[s : s + n]
-            for i in range(n - 1):
-                xs.append(np.full(n - 1 - i, rows[i]))
-                ys.append(rows[i + 1 :])
-                held += n - 1 - i
-                if held > 50_000:
-                    yield compare(np.concatenate(xs), np.concatenate(ys))
-                    xs, ys, held = [], [], 0
-        if held:
-            yield compare(np.concatenate(xs), np.concatenate(ys))
+        for table in C.whole_groups(batches, ["key", "a", "b"]):
+            key, a, b, ids, part, mask, weight = (table.column(c).to_numpy() for c in ("key", "a", "b", "id", "part", "mask", "n"))
+            at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            size = np.diff(np.concatenate((at, [len(key)])))
+            merge = Merge(ids, _matrix(table.column("sig"), k), mask.view(np.uint64), (key >> 32).astype(np.uint64), part, weight, need, counted)
+            merge.run(at, size, a == b)
+            to = np.flatnonzero((merge.label != np.arange(len(ids))) | (merge.links > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[to]), pa.array(ids[merge.label[to]]), pa.array(merge.links[to])], ["id", "to", "links"])
 
     return run
 
 
-def classes(docs: DataFrame, k: int = K, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(cls, sig, ids): every distinct signature with a number of its own and the distinct ids that have it, in order."""
-    sigs = signatures(docs, k, shingle, id_col, text)
-    return sigs.groupBy("sig").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.monotonically_increasing_id().alias("cls"), "sig", "ids")
+def _classes(docs: DataFrame, scratch: C.Scratch, k: int, shingle: int, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((id, th, sig) of the distinct documents, (cls, sig, n) of the distinct signatures with a number of their own and that of their documents)."""
+    sigs = scratch.cut(signatures(docs, k, shingle, id_col, text).dropDuplicates(["id", "th"]))
+    return sigs, scratch.cut(sigs.groupBy("sig").agg(F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("cls"), "sig", "n"))
 
 
-def _class_pairs(found: DataFrame, k: int, need: int) -> DataFrame:
-    """(doc_a, doc_b, matches) over the numbers of the classes: those whose signatures agree in at least need coordinates."""
-    heads = found.select(F.col("cls").alias("id"), "sig")
-    lists = heads.mapInArrow(_postings(k), "key bigint, id bigint").repartition("key").mapInArrow(_shared_lists, "id bigint, key bigint, size bigint")
-    prefix = lists.repartition("id").mapInArrow(_prefix(need), "id bigint, keys array<bigint>, mask bigint")
-    posted = prefix.join(heads, "id").select(F.explode("keys").alias("key"), "id", "mask", "sig").repartition("key")
-    return posted.mapInArrow(_matches(k, need), "doc_a bigint, doc_b bigint, matches int")
+def _links(heads: DataFrame, k: int, need: int, counted: bool) -> DataFrame:
+    """(id, to, links) over the numbers of the classes, some rows a class."""
+    keys = heads.select(F.col("cls").alias("id"), "sig").mapInArrow(_postings(k), "key bigint, id bigint")
+    shared = keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")
+    own = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists")).where(F.size("lists") >= need)  # K at most
+    prefix = own.select("id", F.slice("lists", 1, F.size("lists") - (need - 1)).alias("lists"))
+    masked = prefix.withColumn("mask", F.expr("aggregate(lists, 0L, (m, x) -> m | shiftleft(1L, cast(shiftright(x.key, 32) as int)))"))
+    posted = masked.join(heads.select(F.col("cls").alias("id"), "sig", "n"), "id").select("id", "mask", "sig", "n", F.explode("lists").alias("l"))
+    parts = F.ceil(F.col("l.size") / PART)
+    placed = posted.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts)})
+    blocks = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    rows = blocks.select(F.col("l.key").alias("key"), F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "id", "part", "mask", "n", "sig")
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id").mapInArrow(_merged(k, need, counted), "id bigint, to bigint, links bigint")
 
 
 def _need(k: int, threshold: float) -> int:
+    if not 1 <= k <= 64:
+        raise ValueError("a signature has 1 to 64 coordinates")
     return max(1, int(np.ceil(threshold * k - 1e-9)))
 
 
 def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b, matches): all pairs whose signatures agree in at least threshold * k coordinates, doc_a < doc_b, a row each.
-
-    Nothing is capped or sampled: against brute force over the same signatures the result is exact. Rows with a null id, and texts
-    that are null, empty or without a word, have no pairs. A repeated row counts once; different texts under one id never pair with
-    each other, and with another id the nearest of them counts. An empty table gives no rows. Other columns are not read, so their
-    names don't matter. k is at most 64.
+    """(doc_id, class_id, links) of every document that has a near copy, a row each.
+
+    links is the number of other documents whose signatures agree with this one's in at least threshold * k coordinates; class_id is
+    the least id of those linked with it directly or through others. A document is a distinct (id, text): a repeated row
+    counts once, and two texts under one id are two documents, which have a row each and may be copies of one another. Documents of
+    a null id take part; class_id is null if no other in the class has an id. Texts that are null, empty or without a word are copies
+    of nothing, and like all documents without a near copy they have no row. Nothing is capped or sampled: against brute force over
+    the same signatures the result is exact. An empty table gives no rows. Ids may be of any type that can be ordered. Other columns
+    aren't read, so their names don't matter. k is at most 64, else ValueError.
     """
-    scratch = C.Scratch(docs.sparkSession)
-    found = scratch.cut(classes(docs, k, shingle, id_col, text))
-    ids = found.select("cls", "ids")
-    between = _class_pairs(found, k, _need(k, threshold)).join(ids.toDF("doc_a", "xs"), "doc_a").join(ids.toDF("doc_b", "ys"), "doc_b")
-    within = ids.where("size(ids) > 1").select(F.lit(k).alias("matches"), F.col("ids").alias("xs"), F.col("ids").alias("ys"), F.lit(True).alias("same"))
-    both = between.select("matches", "xs", "ys", F.lit(False).alias("same")).unionByName(within).select("matches", F.explode("xs").alias("x"), "ys", "same")
-    pairs = both.select("matches", "x", F.explode("ys").alias("y"), "same").where("x < y or x > y and not same")
-    out = pairs.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "matches")
-    if ids.select(F.explode("ids").alias("id")).groupBy("id").count().where("count > 1").head(1):
-        out = out.groupBy("doc_a", "doc_b").agg(F.max("matches").alias("matches"))
-    return out
-
-
-def linked(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_a, doc_b): as few of the pairs of near_duplicates as link the same documents, each class by its least id."""
-    scratch = C.Scratch(docs.sparkSession)
-    found = scratch.cut(classes(docs, k, shingle, id_col, text))
-    heads = found.select("cls", F.col("ids")[0].alias("head"))
-    between = _class_pairs(found, k, _need(k, threshold)).join(heads.toDF("doc_a", "a"), "doc_a").join(heads.toDF("doc_b", "b"), "doc_b")
-    within = found.select(F.col("ids")[0].alias("a"), F.explode(F.slice("ids", 2, F.size("ids"))).alias("b"))
-    return between.select("a", "b").unionByName(within).toDF("doc_a", "doc_b")
+    need, scratch = _need(k, threshold), C.Scratch(docs.sparkSession)
+    sigs, heads = _classes(docs, scratch, k, shingle, id_col, text)
+    found = scratch.cut(_links(heads, k, need, True))
+    least = components(found.select(F.col("id").alias("doc_a"), F.col("to").alias("doc_b")), scratch)
+    counts = found.groupBy("id").agg(F.sum("links").alias("more"))
+    per = heads.select("cls", "sig", "n").join(counts.withColumnRenamed("id", "cls"), "cls", "left").join(least.withColumnRenamed("id", "cls"), "cls", "left")
+    linked = per.select("sig", F.coalesce("least", "cls").alias("group"), (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links")).where("links > 0")
+    members = scratch.cut(sigs.join(linked, "sig").select("id", "group", "links"))
+    ids = members.groupBy("group").agg(F.min("id").alias("class_id"))
+    return members.join(ids, "group").select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
 def components(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -257,12 +292,22 @@ def components(pairs: DataFrame, scratch: C.Scratch) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingle: int = SHINGLE, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near copies: of each group of near_duplicates, linked directly or through others, the document of the least id stays.
+    """docs without the near copies: of each class of near_duplicates the least document stays, by (id with null last, hash of the text).
 
-    Rows with a null id and texts without a word are copies of nothing and stay. Rows under one id stand or fall together. An empty
-    table stays empty; other columns pass through whatever their names.
+    Texts without a word, null and empty ones too, are copies of nothing and stay. Rows equal in id and text are one document and
+    stand or fall together; two texts under one id are two. An empty table stays empty; other columns pass through whatever their names.
     """
-    scratch = C.Scratch(docs.sparkSession)
-    gone = components(linked(docs, k, threshold, shingle, id_col, text), scratch)
-    own = C.free_name(docs, "tw_gone")
-    return docs.join(gone.select(F.col("id").alias(own)), F.col(id_col).cast("bigint") == F.col(own), "left_anti")
+    need, scratch = _need(k, threshold), C.Scratch(docs.sparkSession)
+    sigs, heads = _classes(docs, scratch, k, shingle, id_col, text)
+    least = components(_links(heads, k, need, False).select(F.col("id").alias("doc_a"), F.col("to").alias("doc_b")), scratch)
+    per = heads.join(least.withColumnRenamed("id", "cls"), "cls", "left").where("least is not null or n > 1").select("sig", F.coalesce("least", "cls").alias("group"))
+    # the least class of a component points at nothing, so it comes in by those that point at it
+    tops = heads.join(least.select(F.col("least").alias("cls")).distinct(), "cls").where("n = 1").select("sig", F.col("cls").alias("group"))
+    place = F.struct(F.col("id").isNull().alias("z"), "id", "th")
+    members = scratch.cut(sigs.join(per.unionByName(tops), "sig").select("group", place.alias("place")))
+    stays = members.groupBy("group").agg(F.min("place").alias("first"))
+    own = {c: C.free_name(docs, f"tw_{c}") for c in ("id", "th", "key")}
+    gone = members.join(stays, "group").where("place != first").select(F.col("place.id").alias(own["id"]), F.col("place.th").alias(own["th"]))
+    keyed = docs.withColumn(own["key"], C.text_key(text))
+    on = F.col(f"`{id_col}`").eqNullSafe(F.col(own["id"])) & (F.col(own["key"]) == F.col(own["th"]))
+    return keyed.join(gone, on, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
