@@ -129,6 +129,25 @@ def test_batch_equals_single(spark):
         assert sorted(got.get(qid, [])) == [(i + 1, d, -s) for i, (s, _, d) in enumerate(every)], text
 
 
+def test_batch_takes_queries_that_masks_cannot_say(spark, monkeypatch):
+    """More different terms than a mask may have, beside ordinary queries: as if searched alone. More alternatives than are written out give no masks."""
+    monkeypatch.setattr(S, "MAX_LEAVES", 2)
+    rows = docs(30, 4)
+    index = index_of(spark, rows, 2)
+    every = [("long", "river OR light OR title:stone"), ("wide", "(river OR light) AND (title:stone OR harbor)"), ("plain", "river OR light")]
+    for too in (False, True):
+        got = {}
+        for r in S.search_many(index, every, "body", top=None, collect_features=too).collect():
+            got.setdefault(r.query_id, {})[r.seg, r.doc] = (round(r.score, 9), tuple(r.features) if too else ())
+        for qid, text in every:
+            want = {(r.seg, r.doc): (round(r.score, 9), tuple(r.features) if too else ()) for r in S.candidates(index, Q.parse(text, "body"), too).collect()}
+            assert got[qid].keys() == want.keys() and len(want) > 3
+            assert all(got[qid][k][0] == want[k][0] and got[qid][k][1] == pytest.approx(want[k][1]) for k in want)
+    node = Q.parse(" AND ".join(f"(w{i} OR v{i})" for i in range(13)), "body")
+    bit = {x: i for i, x in enumerate(dict.fromkeys(Q.leaves(node, index.schema)))}
+    assert Q.dnf(node, index.schema, bit) is None and len(Q.dnf(node, index.schema, bit, 1 << 13)) == 1 << 13
+
+
 @pytest.mark.parametrize("text", ["river OR title:stone OR river OR tag:c", "nofield:x OR light", "", "title:the OR boat"])
 def test_features_equal_loops(spark, text):
     rows = docs(30, 5)
@@ -157,6 +176,10 @@ def test_statistics(spark):
     index, plain = index_of(spark, rows, 2), Plain(rows)
     stats = {r.field: r.avg_field_length for r in P.average_lengths(index.field_stats()).collect()}
     assert stats["body"] == pytest.approx(plain.avg("body"))
+    whole = {(r.seg, r.field): (r.doc_count, r.sum_field_length) for r in index.field_stats().collect()}
+    assert whole == {(r.seg, r.field): (r.doc_count, r.sum_field_length) for r in index.lengths().collect()}
+    index.sizes = None
+    assert whole == {(r.seg, r.field): (r.doc_count, r.sum_field_length) for r in index.lengths().collect()}
     df = {(r.field, r.term): r.df for r in P.term_stats(index.postings).groupBy("field", "term").agg(F.sum("df").alias("df")).collect()}
     assert df == {k: len(v) for k, v in plain.post.items()}
     long = [("x", " ".join(["w"] * 70_000 + ["last"]), "", "", None, None, 0)]
@@ -171,7 +194,8 @@ def test_searcher(spark):
     want = sorted((-plain.score(Q.parse("river", "body"), d), d) for d in range(30) if plain.match(Q.parse("river", "body"), d))
     assert found.total_hits == len(want) and [h.id for h in found.hits] == [f"d{d}" for _, d in want[:3]]
     assert s.search("river", "body", size=0).hits == [] and s.search("", size=2).total_hits == 30
-    assert s.search("absent").hits == []
+    for nothing in ("absent", "nofield:river", "the", "river AND absent"):
+        assert (s.search(nothing, "body").total_hits, s.search(nothing, "body").hits) == (0, [])
     with pytest.raises(InvalidArgument):
         s.search("a:(b)")
     weights = [0.0] * 19
@@ -211,6 +235,12 @@ def test_pool_and_training(spark, tmp_path):
     data = [(float(x[3] > 0), q, list(x)) for q in range(5) for x in rng.normal(size=(20, 19))]
     model = R.train_linear(data)
     assert np.argmax(np.abs(model.weights)) == 3
+    # what no line can say: near to a value
+    bent = [(2.0 if abs(x[3]) < 0.5 else 0.0, q, list(x)) for q in range(8) for x in rng.normal(size=(30, 19))]
+    trees = R.ObliviousTrees(R.train_trees(bent, trees=30, depth=3))
+    score = trees(np.array([[0.0] * 3 + [v] + [0.0] * 15 for v in (-2.0, 0.1, 2.0)]))
+    assert score[1] > score[0] + 0.5 and score[1] > score[2] + 0.5
+    assert R.train_trees([(1.0, 0, [0.0] * 19)])["trees"] == [] and R.train_trees([(1.0, 0, [0.0] * 19), (0.0, 0, [0.0] * 19)])["trees"] == []
 
 
 def test_pool_without_a_cap(spark, tmp_path, monkeypatch):
@@ -249,3 +279,21 @@ def test_empty_index_and_nulls(spark):
     empty = P.build(spark.createDataFrame([], SCHEMA), Schema.from_mappings(MAPPING), 0, F.col("noise"))
     for text in ("", "river", "nofield:x"):
         assert S.Searcher(empty).search(text, "body").total_hits == 0
+
+
+def test_sums_in_order(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=3000).round(2).tolist(), [4.0], [1.0, 1.0, None, 7.5], rng.integers(0, 9, 50).astype(float).tolist()):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        some = sorted(v for v in values if v is not None)
+        got = metrics.percentiles(df, "v").first()
+        assert (got.n, got.p50, got.p95, got.p99) == (len(some), *(some[min(int(len(some) * p), len(some) - 1)] for p in (0.5, 0.95, 0.99)))
+    assert metrics.percentiles(spark.createDataFrame([], "v double"), "v").first().p50 is None
+    places = sorted({int(x) for x in rng.integers(-300, 9000, 800)})
+    counts = spark.createDataFrame([(x, int(rng.integers(1, 9))) for x in places], "bucket bigint, n bigint")
+    held = {r.bucket: r.n for r in counts.collect()}
+    for width, chunk in ((60, 4096), (60, 64), (5, 7), (100, 10)):
+        assert metrics.best_rolling(counts, width, chunk).first().best == max(sum(held.get(b - k, 0) for k in range(width)) for b in held)
+    lines = spark.createDataFrame([(int(x), f"q{int(x) % 7}") for x in rng.permutation(200)], "line bigint, query string")
+    order = list(dict.fromkeys(q for _, q in sorted((r.line, r.query) for r in lines.collect())))
+    assert {(r.query, r.query_id) for r in metrics.auto_query_ids(lines).collect()} == {(q, i) for i, q in enumerate(order)}

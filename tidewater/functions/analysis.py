@@ -7,13 +7,14 @@ versions analyze query strings on the driver and must agree with them.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "the", "to", "with")
 TOKEN = "[A-Za-z0-9]+"
-FINGERPRINTS = {"text": "standard:v1", "keyword": "keyword:v1"}
 _STOP = frozenset(STOP_WORDS)
 
 
@@ -28,18 +29,40 @@ def keyword_tokens(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None)).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-ANALYZERS = {"text": standard_tokens, "keyword": keyword_tokens}
+@dataclass(frozen=True)
+class Analyzer:
+    """column: from a text column to an array of tokens, null to null; plain: the same for a string on the driver, for queries. Two of one fingerprint give the same tokens."""
 
+    column: Callable[[Column], Column]
+    plain: Callable[[str], list[str]]
+    fingerprint: str
 
-def tokens(text: Column, kind: str) -> Column:
-    return ANALYZERS[kind](text)
 
+ANALYZERS: dict[str, Analyzer] = {
+    "standard": Analyzer(standard_tokens, lambda text: [t for t in (x.lower() for x in re.findall(TOKEN, text)) if t not in _STOP], "standard:v1"),
+    "keyword": Analyzer(keyword_tokens, lambda text: [text] if text else [], "keyword:v1"),
+}
 
-def analyze(text: str, kind: str = "text") -> list[str]:
+
+def register(name: str, analyzer: Analyzer) -> None:
+    """Makes an analyzer known to mappings under a name."""
+    if name in ("standard", "keyword") or not name:
+        raise ValueError(f"the analyzer {name!r} can't be replaced")
+    ANALYZERS[name] = analyzer
+
+
+def find(name: str) -> Analyzer:
+    """An unknown name is the standard analyzer's."""
+    return ANALYZERS.get(name, ANALYZERS["standard"])
+
+
+def tokens(text: Column, name: str) -> Column:
+    return find(name).column(text)
+
+
+def analyze(text: str, name: str = "standard") -> list[str]:
     """The tokens of a string, on the driver."""
-    if kind == "keyword":
-        return [text] if text else []
-    return [t for t in (x.lower() for x in re.findall(TOKEN, text)) if t not in _STOP]
+    return find(name).plain(text)
 
 
 def token_table(df: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -48,7 +48,7 @@ def occurrences(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Colum
     for f in schema.fields:
         if f.name not in df.columns:
             continue
-        toks = analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.type)
+        toks = analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by)
         weights = weight_column(f.name)
         if f.store_token_weights and weights in df.columns:
             item = F.transform(toks, _item(f.name, lambda i, w=weights: F.coalesce(F.get(F.col(f"`{w}`").cast("array<float>"), i), F.lit(1.0).cast("float"))))
@@ -81,6 +81,13 @@ def field_stats(p: DataFrame) -> DataFrame:
     return lengths.join(terms, ["seg", "field"])
 
 
+def document_lengths(df: DataFrame, schema: Schema, seg: int | Column = 0) -> DataFrame:
+    """(seg, field, doc_count, sum_field_length) from the documents themselves: tokens are counted where they are, none is moved."""
+    sizes = [F.struct(F.lit(f.name).alias("field"), F.size(analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by)).alias("n")) for f in schema.fields if f.name in df.columns]
+    rows = df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), F.inline(F.array(*sizes))).where("n > 0")
+    return rows.groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").cast("bigint").alias("sum_field_length"))
+
+
 def average_lengths(stats: DataFrame) -> DataFrame:
     """(field, avg_field_length) over all segments."""
     return stats.groupBy("field").agg((F.sum("sum_field_length") / F.sum("doc_count")).alias("avg_field_length"))
@@ -88,31 +95,41 @@ def average_lengths(stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A snapshot: frames that don't change. fields: FIELD_STATS, from the postings unless it is given."""
+    """A snapshot: frames that don't change. fields: FIELD_STATS, from the postings unless it is given; sizes: the same without terms, which needs no postings."""
 
     schema: Schema
     postings: DataFrame
     docs: DataFrame
     fields: DataFrame | None = None
+    sizes: DataFrame | None = None
     generation: int = 0
     extra: dict = field(default_factory=dict)
 
     def field_stats(self) -> DataFrame:
         return self.fields if self.fields is not None else field_stats(self.postings)
 
+    def lengths(self) -> DataFrame:
+        """(seg, field, doc_count, sum_field_length) by the shortest way there is."""
+        known = self.fields if self.fields is not None else self.sizes
+        if known is not None:
+            return known.select("seg", "field", "doc_count", "sum_field_length")
+        each = self.postings.groupBy("seg", "field", "doc").agg(F.sum("tf").alias("n"))
+        return each.groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").alias("sum_field_length"))
+
     def doc_count(self) -> int:
         return self.docs.count()
 
     def union(self, other: Index) -> Index:
         """Both indexes' segments searched as one."""
         stats = None if self.fields is None or other.fields is None else self.fields.unionByName(other.fields)
-        return replace(self, postings=self.postings.unionByName(other.postings), docs=self.docs.unionByName(other.docs), fields=stats)
+        sizes = None if self.sizes is None or other.sizes is None else self.sizes.unionByName(other.sizes)
+        return replace(self, postings=self.postings.unionByName(other.postings), docs=self.docs.unionByName(other.docs), fields=stats, sizes=sizes)
 
 
 def build(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None) -> Index:
     """An index in memory: nothing is computed before it is searched."""
     schema = schema.with_id()
-    return Index(schema, postings(df, schema, seg, doc), document_rows(df, schema, seg, doc))
+    return Index(schema, postings(df, schema, seg, doc), document_rows(df, schema, seg, doc), sizes=document_lengths(df, schema, seg))
 
 
 def intersect(lists: list[DataFrame], on: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidewater.errors import InvalidArgument
@@ -89,7 +89,7 @@ def candidates(index: Index, node: Q.Query, features_too: bool = False, k1: floa
     stats = df.crossJoin(index.docs.agg(F.count("*").alias("n_docs")))
     if features_too:
         fields = sorted({x[0] for x in known})
-        avg = index.field_stats().where(F.col("field").isin(fields)).agg(*(F.coalesce(F.sum(F.when(F.col("field") == f, F.col("sum_field_length"))) / F.sum(F.when(F.col("field") == f, F.col("doc_count"))), F.lit(0.0)).alias(f"avg_{j}") for j, f in enumerate(fields)))
+        avg = index.lengths().where(F.col("field").isin(fields)).agg(*(F.coalesce(F.sum(F.when(F.col("field") == f, F.col("sum_field_length"))) / F.sum(F.when(F.col("field") == f, F.col("doc_count"))), F.lit(0.0)).alias(f"avg_{j}") for j, f in enumerate(fields)))
         stats = stats.crossJoin(avg)
     rows = found.crossJoin(F.broadcast(stats))  # a frame of one row, whatever the index
     idf = {x: scoring.bm25_idf(F.col("n_docs"), F.col(f"df{i}")) for i, x in enumerate(known)}
@@ -121,14 +121,17 @@ def _top(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("score"), "seg", "doc").limit(n)
 
 
-def best(index: Index, node: Q.Query, options: Options | None = None) -> DataFrame:
-    """(seg, doc, score[, features]) of the best documents.
+def best(index: Index, node: Q.Query, options: Options | None = None, counted: Observation | None = None) -> DataFrame:
+    """(seg, doc, score[, features]) of the best documents. counted sees the number of all that match, as total, when the frame is run.
 
     With a ranker the best rerank_top_n (size at least) by BM25 get its score instead, and the best size of these are returned.
     """
     o = options or Options()
     two = o.ranker is not None or o.collect_features
-    pool = _top(candidates(index, node, two, o.k1), max(o.rerank_top_n, o.size) if two else o.size)
+    every = candidates(index, node, two, o.k1)
+    if counted is not None:
+        every = every.observe(counted, F.count(F.lit(1)).alias("total"))
+    pool = _top(every, max(o.rerank_top_n, o.size) if two else o.size)
     if o.ranker is not None:
         columns = [F.col("features")[i] for i in range(features.COUNT)]
         pool = pool.withColumn("score", o.ranker.score(columns).cast("double"))
@@ -173,10 +176,15 @@ class Searcher:
         if o.size < 0:
             raise InvalidArgument("size must not be negative")
         node = Q.parse(query, default_field or self.index.schema.default_field()) if isinstance(query, str) else query
-        total = total_hits(self.index, node).first().total
-        if not o.size or not total:
-            return SearchResult(total, [], [])
-        rows = sorted(best(self.index, node, o).collect(), key=lambda r: (-r.score, r.seg, r.doc))
+        if not o.size:
+            return SearchResult(total_hits(self.index, node).first().total, [], [])
+        if not isinstance(node, Q.MatchAll) and not any(self.index.schema.has(f) for f, _ in Q.leaves(node, self.index.schema)):
+            return SearchResult(0, [], [])
+        counted = Observation()
+        rows = sorted(best(self.index, node, o, counted).collect(), key=lambda r: (-r.score, r.seg, r.doc))
+        total = counted.get["total"] if rows else 0  # one run for both
+        if not rows:
+            return SearchResult(0, [], [])
         # segments hold documents in the order of their numbers, so that these few reach few row groups
         where = F.lit(False)
         for seg in {r.seg for r in rows}:
@@ -186,9 +194,9 @@ class Searcher:
         return SearchResult(total, [Hit(score, d._id, d.stored) for score, d in found], [list(r.features) for r in rows] if o.collect_features else [])
 
 
-def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list, list]:
-    """Rows of leaves (query_id, bit, field, term, times), of masks (query_id, masks, terms) and of queries that match all (query_id,)."""
-    leaf_rows, mask_rows, all_rows = [], [], []
+def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list, list, list]:
+    """Rows of leaves (query_id, bit, field, term, times), of masks (query_id, masks, terms), of queries that match all (query_id,), and the queries (query_id, tree) that masks of leaves can't say."""
+    leaf_rows, mask_rows, all_rows, alone = [], [], [], []
     for qid, text in queries:
         node = Q.parse(text, field)
         if isinstance(node, Q.MatchAll):
@@ -196,23 +204,25 @@ def _batch(index: Index, queries: list[tuple], field: str) -> tuple[list, list,
             continue
         every = Q.leaves(node, index.schema)
         bit = {x: i for i, x in enumerate(dict.fromkeys(every))}
-        if len(bit) > MAX_LEAVES:
-            raise InvalidArgument(f"more than {MAX_LEAVES} different terms in query {qid}")
-        masks = Q.dnf(node, index.schema, bit)
+        masks = Q.dnf(node, index.schema, bit) if len(bit) <= MAX_LEAVES else None
+        if masks is None:
+            alone.append((str(qid), node))
+            continue
         if masks:
             mask_rows.append((str(qid), masks, len(every)))
             leaf_rows += [(str(qid), bit[x], x[0], x[1], every.count(x)) for x in bit if index.schema.has(x[0])]
-    return leaf_rows, mask_rows, all_rows
+    return leaf_rows, mask_rows, all_rows, alone
 
 
 def search_many(index: Index, queries: list[tuple], default_field: str | None = None, top: int | None = 10, k1: float = scoring.K1, collect_features: bool = False) -> DataFrame:
     """(query_id, rank, seg, doc, score[, features]) of the best documents of each (query_id, text), in one plan for all; with top None of all that match.
 
     Leaves of all queries are joined to the postings once; a query is the masks of leaves of which one must be there whole. Query
-    ids are strings and must be different. Queries that can't be read raise InvalidArgument. At most 63 different leaves a query.
+    ids are strings and must be different. Queries that can't be read raise InvalidArgument. A query of more than 63 different leaves,
+    or of very many alternatives, gets a branch of its own in the plan, as if it were searched alone.
     """
     spark = index.docs.sparkSession
-    leaf_rows, mask_rows, all_rows = _batch(index, queries, default_field or index.schema.default_field())
+    leaf_rows, mask_rows, all_rows, alone = _batch(index, queries, default_field or index.schema.default_field())
     leaves = spark.createDataFrame(leaf_rows, "query_id string, bit int, field string, term string, times int")
     masks = spark.createDataFrame(mask_rows, "query_id string, masks array<bigint>, terms int")
     terms = leaves.select("field", "term").distinct()
@@ -223,7 +233,7 @@ def search_many(index: Index, queries: list[tuple], default_field: str | None =
     if collect_features:
         facts = [(f.name, i, float(f.boost), float(f.position_decay), f.store_token_weights) for i, f in enumerate(index.schema.fields)]
         fields = spark.createDataFrame(facts, "field string, field_id int, boost double, decay double, weighs boolean")
-        average = index.field_stats().groupBy("field").agg((F.sum("sum_field_length") / F.sum("doc_count")).alias("average"))
+        average = index.lengths().groupBy("field").agg((F.sum("sum_field_length") / F.sum("doc_count")).alias("average"))
         known = known.join(fields, "field").join(average, "field", "left")
     rows = own.join(_sized(known, len(leaf_rows)), ["field", "term"])
     bm25 = scoring.term_score(F.col("idf"), F.col("tf"), k1)
@@ -238,6 +248,9 @@ def search_many(index: Index, queries: list[tuple], default_field: str | None =
     if all_rows:
         extra = [F.array(*features.columns([], F.col("quality"), k1)).alias("features")] if collect_features else []
         scored = scored.unionByName(spark.createDataFrame(all_rows, "query_id string").crossJoin(index.docs.select("seg", "doc", F.lit(0.0).alias("score"), *extra)))
+    for qid, node in alone:
+        one = candidates(index, node, collect_features, k1).withColumn("query_id", F.lit(qid))
+        scored = scored.unionByName(one.select(*scored.columns))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seg", "doc")
     ranked = scored.withColumn("rank", F.row_number().over(w))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("query_id", "rank", "seg", "doc", "score", *(["features"] if collect_features else []))

@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from tidewater.errors import Corruption, InvalidArgument
-from tidewater.functions.analysis import FINGERPRINTS
+from tidewater.functions import analysis
 
 TYPES = ("text", "keyword")
 MAX_FIELDS = 65535
@@ -24,6 +24,11 @@ class FieldMapping:
     position_decay: float = 0.0
     store_token_weights: bool = False
 
+    @property
+    def analyzed_by(self) -> str:
+        """The name of the field's analyzer."""
+        return "keyword" if self.type == "keyword" else self.analyzer
+
 
 @dataclass
 class Schema:
@@ -67,7 +72,8 @@ class Schema:
         return next((f.name for f in self.fields if f.type == "text" and f.name != "_id"), "_id")
 
     def fingerprint(self) -> str:
-        return "+".join(FINGERPRINTS[t] for t in TYPES)
+        """Of all analyzers that an index of this schema may have used: the two that are built in, and those of its fields."""
+        return "+".join(dict.fromkeys(analysis.find(n).fingerprint for n in ("standard", "keyword", *sorted(f.analyzed_by for f in self.fields))))
 
     def to_json(self) -> str:
         return json.dumps({"fields": [asdict(f) for f in self.fields], "store_doc_quality": self.store_doc_quality}, indent=2, sort_keys=True)
