@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,13 +37,31 @@ def mean_quality(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.avg("ndcg").alias("ndcg"), F.avg("precision").alias("precision"), F.avg("mrr").alias("mrr"))
 
 
+#: Ranges into which values are cut for sums in order; windows hold one range each, and one a row for each range.
+RANGES = 256
+
+
+def _ranges(df: DataFrame, value: str) -> Column:
+    """The number of the range that a value lies in: of about equal counts, by approximate borders. Any borders give right sums, so it doesn't matter how near they are."""
+    at = df.stat.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)
+    borders = F.array(*(F.lit(float(x)) for x in sorted(set(at)))) if at else F.array().cast("array<double>")
+    return F.size(F.filter(borders, lambda x: x <= F.col(value).cast("double")))
+
+
+def running(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """df with upto: the sum of weight over all rows of this value or less. Values are distinct numbers. No window holds more than one range of them."""
+    cut = df.withColumn("_range", _ranges(df, value))
+    totals = cut.groupBy("_range").agg(F.sum(weight).alias("_all"))
+    base = totals.select("_range", (F.sum("_all").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_all")).alias("_base"))  # RANGES rows at most
+    inside = F.sum(weight).over(Window.partitionBy("_range").orderBy(value))
+    return cut.join(F.broadcast(base), "_range").withColumn("upto", F.col("_base") + inside).drop("_range", "_base")
+
+
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """One row: n, mean, and for each share p the value at place int(n * p) of the sorted values (the last at most). Exact; equal values are counted first, and one task orders the distinct ones."""
+    """One row: n, mean, and for each share p the value at place int(n * p) of the sorted values (the last at most). Exact; equal values are counted first, and the distinct ones ordered range by range."""
     values = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = values.withColumn("upto", F.sum("c").over(w))
     total = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    both = upto.crossJoin(F.broadcast(total))
+    both = running(values, "v", "c").crossJoin(F.broadcast(total))
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v"))).alias(f"p{round(p * 100)}") for p in at]
     return both.agg(F.max("n").alias("n"), F.max("mean").alias("mean"), *picks)
 
@@ -56,10 +74,14 @@ def buckets(df: DataFrame, ts: str, seconds: int = 1, ok: str | None = None) ->
     return df.where(F.col(ts).isNotNull()).groupBy(F.floor(micros / (1_000_000 * seconds)).alias("bucket")).agg(F.count("*").alias("n"), bad.cast("bigint").alias("errors"))
 
 
-def best_rolling(counts: DataFrame, width: int = 60) -> DataFrame:
-    """One row: best, the greatest sum of n over width successive buckets. Buckets without events count 0."""
-    w = Window.orderBy("bucket").rangeBetween(-(width - 1), 0)
-    return counts.select(F.sum("n").over(w).alias("s")).agg(F.max("s").alias("best"))
+def best_rolling(counts: DataFrame, width: int = 60, chunk: int = 4096) -> DataFrame:
+    """One row: best, the greatest sum of n over width successive buckets. Buckets without events count 0. Buckets are summed chunk by chunk, the first width - 1 of a chunk together with the end of the one before."""
+    step = max(chunk, width)
+    own = F.floor(F.col("bucket") / step)
+    late = F.col("bucket") - own * step >= step - (width - 1)
+    there = counts.select("bucket", "n", own.alias("own"), F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))).alias("part"))
+    w = Window.partitionBy("part").orderBy("bucket").rangeBetween(-(width - 1), 0)
+    return there.withColumn("s", F.sum("n").over(w)).where("own = part").agg(F.max("s").alias("best"))
 
 
 def peak_inside(counts: DataFrame) -> DataFrame:
@@ -69,6 +91,7 @@ def peak_inside(counts: DataFrame) -> DataFrame:
 
 
 def auto_query_ids(lines: DataFrame, line: str = "line", query: str = "query") -> DataFrame:
-    """lines with query_id: queries are numbered from 0 by where they appear first."""
-    first = lines.groupBy(query).agg(F.min(line).alias("first")).withColumn("query_id", F.row_number().over(Window.orderBy("first")) - 1)
-    return lines.join(first.drop("first"), query)
+    """lines with query_id: queries are numbered from 0 by where they appear first. line is a number that is another in each row."""
+    first = lines.groupBy(query).agg(F.min(line).alias("first"), F.lit(1).alias("one"))
+    numbered = running(first, "first", "one").select(query, (F.col("upto") - 1).cast("int").alias("query_id"))
+    return lines.join(numbered, query)
