@@ -107,19 +107,60 @@ class ObliviousTrees:
         return out
 
 
+def _pairs(label: np.ndarray, query: list) -> tuple[np.ndarray, np.ndarray]:
+    """(better, worse): the places of all pairs of one query and different labels."""
+    groups: dict = {}
+    for i, q in enumerate(query):
+        groups.setdefault(q, []).append(i)
+    found = []
+    for g in map(np.array, groups.values()):
+        i, j = np.nonzero(label[g][:, None] > label[g][None, :])
+        found.append((g[i], g[j]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
 def train_linear(rows: list[tuple[float, object, list[float]]], rounds: int = 300, rate: float = 0.05) -> LinearRanker:
     """Fits a linear ranker on a pool of (label, query id, features), pairs of one query and different labels, by logistic loss. The pool is what judges have labelled, so it is small."""
     x = np.array([r[2] for r in rows], float).reshape(-1, COUNT)
     label = np.array([r[0] for r in rows], float)
     scale = np.maximum(np.abs(x).max(0, initial=0.0), 1e-9)
-    groups: dict = {}
-    for i, r in enumerate(rows):
-        groups.setdefault(r[1], []).append(i)
-    pairs = [(i, j) for g in groups.values() for i in g for j in g if label[i] > label[j]]
+    better, worse = _pairs(label, [r[1] for r in rows])
     w = np.zeros(COUNT)
-    if pairs:
-        diff = np.array([x[i] - x[j] for i, j in pairs]) / scale
-        gain = np.array([2.0 ** label[i] - 2.0 ** label[j] for i, j in pairs])
+    if len(better):
+        diff = (x[better] - x[worse]) / scale
+        gain = 2.0 ** label[better] - 2.0 ** label[worse]
         for _ in range(rounds):
             w += rate * ((gain / (1 + np.exp(np.clip(diff @ w, -50, 50)))) @ diff / gain.sum() - 1e-3 * w)
     return LinearRanker(list(w / scale))
+
+
+def train_trees(rows: list[tuple[float, object, list[float]]], trees: int = 100, depth: int = 4, rate: float = 0.1, borders: int = 32, l2: float = 1.0) -> dict:
+    """Fits oblivious trees on a pool of (label, query id, features) by boosting the logistic loss of pairs of one query; the model as ObliviousTrees takes it. Labels weigh pairs as in train_linear. Without pairs there are no trees."""
+    x = np.array([r[2] for r in rows], float).reshape(-1, COUNT)
+    label = np.array([r[0] for r in rows], float)
+    better, worse = _pairs(label, [r[1] for r in rows])
+    model: dict = {"trees": [], "bias": 0.0}
+    if not len(better):
+        return model
+    gain = 2.0 ** label[better] - 2.0 ** label[worse]
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, borders + 2)[1:-1])) for f in range(COUNT)]
+    options = [(f, float(b)) for f in range(COUNT) for b in cuts[f] if (x[:, f] > b).any()]
+    over = np.stack([x[:, f] > b for f, b in options]) if options else np.zeros((0, len(x)), bool)
+    score = np.zeros(len(x))
+    for _ in range(trees if len(options) else 0):
+        p = 1 / (1 + np.exp(np.clip(score[better] - score[worse], -50, 50)))
+        n = len(x)
+        grad = np.bincount(better, gain * p, n) - np.bincount(worse, gain * p, n)
+        hess = np.bincount(better, gain * p * (1 - p), n) + np.bincount(worse, gain * p * (1 - p), n)
+        leaf, splits = np.zeros(n, np.int64), []
+        for level in range(depth):
+            at = leaf[None, :] | (over.astype(np.int64) << level)
+            size = 2 << level
+            worth = np.array([(np.bincount(a, grad, size) ** 2 / (np.bincount(a, hess, size) + l2)).sum() for a in at])
+            best = int(worth.argmax())
+            splits.append(list(options[best]))
+            leaf = at[best]
+        values = rate * np.bincount(leaf, grad, 1 << depth) / (np.bincount(leaf, hess, 1 << depth) + l2)
+        model["trees"].append({"splits": splits, "leaves": values.tolist()})
+        score += values[leaf]
+    return model
