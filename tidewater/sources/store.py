@@ -36,7 +36,7 @@ def load_manifest(files: Files, root: str) -> Manifest:
         raw = json.loads(files.read(path))
         if raw["version"] != VERSION:
             raise Corruption(f"manifest: version {raw['version']}")
-        return Manifest(int(raw["generation"]), [{"seg": int(s["seg"]), "stem": str(s["stem"]), "doc_count": int(s["doc_count"])} for s in raw["segments"]], [int(b) for b in raw["batches"]], int(raw["next_seg"]))
+        return Manifest(int(raw["generation"]), [{"seg": int(s["seg"]), "stem": str(s["stem"]), "doc_count": int(s["doc_count"])} | ({"fingerprint": str(s["fingerprint"])} if "fingerprint" in s else {}) for s in raw["segments"]], [int(b) for b in raw["batches"]], int(raw["next_seg"]))
     except (ValueError, KeyError, TypeError) as e:
         raise Corruption(f"manifest: {e}") from e
 
@@ -78,10 +78,30 @@ def seal(docs: DataFrame, schema: Schema, root: str, seg: int, name: str, partit
     return spark.read.parquet(f"{at}/docs").count()
 
 
+def validate(spark: SparkSession, root: str, m: Manifest, schema: Schema) -> None:
+    """Raises Corruption where a segment isn't there, holds another number of documents than the manifest says, or was analyzed otherwise than this schema's fields are now."""
+    for s in m.segments:
+        if s.get("fingerprint", schema.fingerprint()) != schema.fingerprint():
+            raise Corruption(f"segment {s['stem']} was analyzed by {s['fingerprint']}, not by {schema.fingerprint()}")
+    files = Files(spark)
+    for s in m.segments:
+        for part in ("docs", "postings", "fields"):
+            if not files.exists(f"{root}/segments/{s['stem']}/{part}/_SUCCESS"):
+                raise Corruption(f"segment {s['stem']} has no {part}")
+    if m.segments:
+        rows = spark.read.schema(P.DOCS).parquet(*[f"{root}/segments/{s['stem']}/docs" for s in m.segments]).groupBy("seg").count().collect()
+        held = {r["seg"]: r["count"] for r in rows}
+        for s in m.segments:
+            if held.get(s["seg"], 0) != s["doc_count"]:
+                raise Corruption(f"segment {s['stem']} holds {held.get(s['seg'], 0)} documents, the manifest says {s['doc_count']}")
+
+
 def open_index(spark: SparkSession, root: str, manifest: Manifest | None = None) -> P.Index:
-    """A snapshot of the segments that the manifest lists now; later refreshes don't change it."""
+    """A snapshot of the segments that the manifest lists now, which are validated; later refreshes don't change it. A manifest that is given isn't validated again."""
     files = Files(spark)
     m = manifest or load_manifest(files, root)
     schema = load_schema(files, root)
+    if manifest is None:
+        validate(spark, root, m, schema)
     read = lambda part, kind: spark.read.schema(kind).parquet(*[f"{root}/segments/{s['stem']}/{part}" for s in m.segments]) if m.segments else spark.createDataFrame([], kind)
-    return P.Index(schema, read("postings", P.POSTINGS), read("docs", P.DOCS), read("fields", P.FIELD_STATS), m.generation, {"segments": [s["stem"] for s in m.segments], "fingerprint": schema.fingerprint()})
+    return P.Index(schema, read("postings", P.POSTINGS), read("docs", P.DOCS), read("fields", P.FIELD_STATS), generation=m.generation, extra={"segments": [s["stem"] for s in m.segments], "fingerprint": schema.fingerprint()})
