@@ -1,10 +1,11 @@
-"""Commands: index, search, serve, export-features, train.
+"""Commands: index, search, serve, export-features, train, quality.
 
     python -m tidewater.cli index --index DIR --mapping FILE --docs FILE
     python -m tidewater.cli search --index DIR [--size N] [--field F] QUERY
-    python -m tidewater.cli serve --root DIR [--port N]
+    python -m tidewater.cli serve --root DIR [--port N] [--model FILE]
     python -m tidewater.cli export-features --index DIR --judgments FILE --out DIR [--top-n N]
-    python -m tidewater.cli train --pool DIR --out FILE
+    python -m tidewater.cli train --pool DIR --out FILE [--kind linear|trees]
+    python -m tidewater.cli quality --index DIR --judgments FILE [--field F]
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name, options in (
         ("index", (("--index", {"required": True}), ("--mapping", {"required": True}), ("--docs", {"required": True}))),
         ("search", (("--index", {"required": True}), ("--size", {"type": int, "default": 10}), ("--field", {}), ("query", {"nargs": "*"}))),
-        ("serve", (("--root", {"required": True}), ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8080}))),
+        ("serve", (("--root", {"required": True}), ("--host", {"default": "127.0.0.1"}), ("--port", {"type": int, "default": 8080}), ("--model", {}))),
         ("export-features", (("--index", {"required": True}), ("--judgments", {"required": True}), ("--out", {"required": True}), ("--field", {}), ("--top-n", {"type": int, "default": 1000}))),
-        ("train", (("--pool", {"required": True}), ("--out", {"required": True}))),
+        ("train", (("--pool", {"required": True}), ("--out", {"required": True}), ("--kind", {"default": "linear", "choices": ("linear", "trees")}))),
+        ("quality", (("--index", {"required": True}), ("--judgments", {"required": True}), ("--field", {}))),
     ):
         p = sub.add_parser(name)
         for flag, kw in options:
@@ -41,14 +43,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser.parse_args(args)
     spark = spark or session()
     if a.command == "index":
-        schema = documents.read_mapping(a.mapping).with_id()
+        schema = documents.read_mapping(a.mapping, spark).with_id()
         index = index_frame(documents.read_jsonl(spark, a.docs, schema), schema, a.index)
         print(json.dumps({"generation": index.generation, "documents": index.doc_count()}))
     elif a.command == "search":
         found = Searcher(store.open_index(spark, a.index)).search(" ".join(a.query), a.field, size=a.size)
         print(json.dumps({"total": found.total_hits, "hits": [{"_id": h.id, "_score": h.score} for h in found.hits]}))
     elif a.command == "serve":
-        service = SearchService(spark, a.root)
+        model = None
+        if a.model:
+            with open(a.model, encoding="utf-8") as f:
+                model = rankers.ModelRanker(rankers.ObliviousTrees(json.load(f)))
+        service = SearchService(spark, a.root, model=model)
         server = serve(service, a.host, a.port)
         try:
             server.serve_forever()
@@ -65,7 +71,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "train":
         rows = [(float(r[0]), r[1], [float(x) for x in r[2:]]) for r in spark.read.option("sep", "\t").csv(a.pool).collect()]
         with open(a.out, "w", encoding="utf-8") as f:
-            f.write(rankers.train_linear(rows).to_json())
+            f.write(rankers.train_linear(rows).to_json() if a.kind == "linear" else json.dumps(rankers.train_trees(rows)))
+    elif a.command == "quality":
+        from tidewater.serving import report
+
+        index = store.open_index(spark, a.index)
+        print(json.dumps(report.quality_report(spark, report.engine(index, a.field), documents.read_judgments(spark, a.judgments))))
     return 0
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, unquote, urlsplit
@@ -26,13 +27,29 @@ class Request:
         return dict(parse_qsl(urlsplit(self.target).query, keep_blank_values=True))
 
 
+def finite(x):
+    if isinstance(x, dict):
+        return {k: finite(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [finite(v) for v in x]
+    return None if isinstance(x, float) and not math.isfinite(x) else x
+
+
 @dataclass
 class Response:
     status: int
     body: dict
 
+    @staticmethod
+    def error(status: int, kind: str, reason: str) -> Response:
+        return Response(status, {"error": {"type": kind, "reason": reason}})
+
     def encoded(self) -> bytes:
-        return json.dumps(self.body, ensure_ascii=False, sort_keys=True).encode()
+        """JSON with sorted names. A number that isn't finite becomes null, as JSON has none."""
+        try:
+            return json.dumps(self.body, ensure_ascii=False, sort_keys=True, allow_nan=False).encode()
+        except ValueError:
+            return json.dumps(finite(self.body), ensure_ascii=False, sort_keys=True).encode()
 
 
 class Router:
@@ -53,4 +70,4 @@ class Router:
             if method == request.method:
                 request.params = {a[1:]: b for a, b in zip(pattern, parts) if a[0] == ":"}
                 return handler(request)
-        return Response(405, {"error": "method not allowed"}) if known else Response(404, {"error": "not found"})
+        return Response.error(405, "method_not_allowed", "the path has other methods") if known else Response.error(404, "not_found", "no such path")

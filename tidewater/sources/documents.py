@@ -11,6 +11,7 @@ from tidewater.errors import InvalidArgument
 from tidewater.functions import coerce
 from tidewater.operators.postings import weight_column
 from tidewater.plans.schema import Schema
+from tidewater.sources.files import Files
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,13 +50,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: Schema, extras: bool = Fa
     return typed(spark.read.text(path), schema.with_id(), extras=extras)
 
 
-def read_mapping(path: str) -> Schema:
-    with open(path, encoding="utf-8") as f:
-        try:
-            body = json.load(f)
-        except ValueError as e:
-            raise InvalidArgument(f"{path}: {e}") from e
-    return Schema.from_mappings(body)
+def read_mapping(path: str, spark: SparkSession | None = None) -> Schema:
+    """The schema of a mapping file, which lies wherever Spark reads if a session is given, else with the driver."""
+    if spark is not None:
+        text = Files(spark).read(path)
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+    try:
+        return Schema.from_mappings(json.loads(text))
+    except json.JSONDecodeError as e:
+        raise InvalidArgument(f"{path}: {e}") from e
 
 
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
