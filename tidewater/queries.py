@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 from tidewater.functions import analysis, features, metrics, scoring
 from tidewater.operators import postings as P
 from tidewater.operators import search as S
-from tidewater.operators.pool import pool
+from tidewater.operators.pool import pool, write_pool
 from tidewater.operators.rankers import Bm25Ranker, LinearRanker, ModelRanker
 from tidewater.plans import query as Q
 from tidewater.plans.schema import Schema
+from tidewater.serving import report
+from tidewater.serving.router import Request
+from tidewater.serving.service import SearchService
 from tidewater.sources import documents as D
-from tidewater.sources import shared
+from tidewater.sources import shared, store
+from tidewater.sources.files import Files
 from tidewater.streaming.writer import IndexWriter, index_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -284,8 +289,9 @@ def x3(spark, sf_dir):
 
 @query("x4_decay", f"WITH {POST}, a AS (SELECT sum(tf) / count(DISTINCT doc) AS avg FROM p WHERE field = 'text') SELECT doc AS doc_id, term, round(exp(-0.5 * first_pos / avg), 6) AS decay FROM p, a WHERE field = 'text'")
 def x4(spark, sf_dir):
-    own = documents_index(spark, sf_dir).postings.where("field = 'text'")
-    avg = P.average_lengths(P.field_stats(own)).select("avg_field_length")
+    index = documents_index(spark, sf_dir)
+    own = index.postings.where("field = 'text'")
+    avg = P.average_lengths(index.lengths()).where("field = 'text'").select("avg_field_length")
     return own.crossJoin(F.broadcast(avg)).select(F.col("doc").alias("doc_id"), "term", F.round(scoring.position_decay(F.lit(0.5), F.col("first_pos"), F.col("avg_field_length")), 6).alias("decay"))
 
 
@@ -475,3 +481,158 @@ def r2s(spark, sf_dir):
         writer.refresh()
     index = writer.reader()
     return S.candidates(index, Q.parse("widget OR p_type:small", "p_name")).join(index.docs, ["seg", "doc"]).select("_id", F.round("score", 6).alias("score"))
+
+
+def _stored(spark, sf_dir) -> P.Index:
+    """The documents with their qualities as an index on disk, read again."""
+    root = shared.folder(spark)
+    index_frame(corpus(spark, sf_dir, quality=True), Schema.from_mappings(MAPPING), root)
+    return store.open_index(spark, root)
+
+
+@query("k2_stored_features", _features_sql())
+def k2(spark, sf_dir):
+    index = _stored(spark, sf_dir)
+    rows = S.candidates(index, Q.parse("that OR lang:en OR was OR that", "text"), features_too=True).join(index.docs.select("seg", "doc", "_id"), ["seg", "doc"])
+    return rows.select(F.col("_id").cast("bigint").alias("doc_id"), *(F.round(F.col("features")[i].cast("double"), 4).alias(n) for i, n in enumerate(features.NAMES)))
+
+
+@query("k6_stored_quality", "SELECT d.doc_id::VARCHAR AS _id, coalesce(l.q, 0)::FLOAT AS quality, d.source FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) l USING (doc_id)")
+def k6(spark, sf_dir):
+    return _stored(spark, sf_dir).docs.select("_id", "quality", F.get_json_object("stored", "$.source").alias("source"))
+
+
+@query("f8_default_field", search_sql([THAT, THIS], "t0 AND t1"))
+def f8(spark, sf_dir):
+    index = documents_index(spark, sf_dir)
+    return found(index, "that this", index.schema.default_field())
+
+
+@query("e8_other_k1", search_sql([THAT, THIS], "t0 OR t1").replace("1.2", "2.0"))
+def e8(spark, sf_dir):
+    return S.candidates(documents_index(spark, sf_dir), Q.parse("that OR this", "text"), k1=2.0).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("x17_printed_trees", """SELECT * FROM (VALUES ('a b', '(text:a AND text:b)'), ('a OR b c', '(text:a OR (text:b AND text:c))'), ('(a OR lang:en) AND b', '((text:a OR lang:en) AND text:b)'), ('', '*'), ('t:"x y"', 't:x y')) AS v(query, tree)""")
+def x17(spark, sf_dir):
+    return spark.createDataFrame([(q, str(Q.parse(q, "text"))) for q in ("a b", "a OR b c", "(a OR lang:en) AND b", "", 't:"x y"')], "query string, tree string")
+
+
+@query("p1_searcher", f"WITH x AS ({TOP}) SELECT doc_id::VARCHAR AS _id, score, source, (SELECT count(*) FROM x) AS total FROM x JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")
+def p1(spark, sf_dir):
+    got = S.Searcher(documents_index(spark, sf_dir)).search("that AND (this OR was)", "text", size=10)
+    return spark.createDataFrame([(h.id, round(h.score, 6), json.loads(h.stored_json)["source"], got.total_hits) for h in got.hits], "_id string, score double, source string, total bigint")
+
+
+@query("p10_search_route", search_sql([("p_name", "widget"), ("p_type", "small")], "t0 OR t1", post=PART_POST).replace("doc AS doc_id", "doc::VARCHAR AS _id") + " ORDER BY score DESC, doc LIMIT 1000")
+def p10(spark, sf_dir):
+    """An index is made, filled, refreshed and searched through the service's routes."""
+    service = SearchService(spark, shared.folder(spark))
+    body = {"mappings": {"p_name": {"type": "text", "stored": True}, "p_type": {"type": "text"}}}
+    assert service.handle(Request("PUT", "/parts", json.dumps(body).encode())).status == 200
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_partkey").cast("string").alias("_id"), "p_name", "p_type")).alias("value"))
+    service.writers["parts"].land(rows.orderBy("p_partkey").coalesce(1))
+    assert service.handle(Request("POST", "/parts/_refresh")).body["refreshed"]
+    got = service.handle(Request("GET", "/parts/_search?q=widget%20OR+p_type%3Asmall&default_field=p_name&size=5000"))
+    return spark.createDataFrame([(h["_id"], round(h["_score"], 6)) for h in got.body["hits"]], "_id string, score double")
+
+
+@query("p6_routes", """SELECT * FROM (VALUES
+  ('GET /_health', 200, NULL), ('PUT /a', 200, NULL), ('PUT /a', 409, 'already_exists'), ('PUT /a b', 400, 'invalid_index_name'), ('PUT /c {', 400, 'bad_request'), ('POST /a/_doc', 201, NULL), ('POST /a/_doc []', 400, 'bad_request'), ('POST /a/_doc no id', 400, 'bad_request'),
+  ('POST /x/_doc', 404, 'not_found'), ('POST /a/_refresh', 200, NULL), ('GET /a/_search', 200, NULL), ('GET /a/_search (', 400, 'bad_request'), ('GET /a/_search size', 400, 'bad_request'), ('GET /x/_search', 404, 'not_found'),
+  ('GET /a/_ltr', 200, NULL), ('PUT /a/_ltr/linear', 200, NULL), ('PUT /a/_ltr/linear 3', 400, 'bad_request'), ('DELETE /a', 405, 'method_not_allowed'), ('GET /a/b/c', 404, 'not_found')) AS v(route, status, type)""")
+def p6(spark, sf_dir):
+    service = SearchService(spark, shared.folder(spark))
+    schema, doc = b'{"mappings": {"t": {}}}', b'{"_id": "1", "t": "x"}'
+    calls = (
+        ("GET /_health", "/_health", b""), ("PUT /a", "/a", schema), ("PUT /a", "/a", schema), ("PUT /a b", "/a%20b", schema), ("PUT /c {", "/c", b"{"), ("POST /a/_doc", "/a/_doc", doc), ("POST /a/_doc []", "/a/_doc", b"[]"), ("POST /a/_doc no id", "/a/_doc", b"{}"),
+        ("POST /x/_doc", "/x/_doc", doc), ("POST /a/_refresh", "/a/_refresh", b""), ("GET /a/_search", "/a/_search?q=x", b""), ("GET /a/_search (", "/a/_search?q=(", b""), ("GET /a/_search size", "/a/_search?q=x&size=-1", b""), ("GET /x/_search", "/x/_search?q=x", b""),
+        ("GET /a/_ltr", "/a/_ltr", b""), ("PUT /a/_ltr/linear", "/a/_ltr/linear", json.dumps({"weights": [0.0] * features.COUNT}).encode()), ("PUT /a/_ltr/linear 3", "/a/_ltr/linear", b'{"weights": [1, 2, 3]}'), ("DELETE /a", "/a", b""), ("GET /a/b/c", "/a/b/c", b""),
+    )
+    rows = []
+    for name, target, body in calls:
+        got = service.handle(Request(name.split()[0], target, body))
+        rows.append((name, got.status, got.body["error"]["type"] if "error" in got.body else None))
+    return spark.createDataFrame(rows, "route string, status int, type string")
+
+
+@query("r3s_snapshots", "SELECT * FROM (SELECT 'empty' AS moment, 0 AS docs UNION ALL SELECT 'pending', 0 UNION ALL SELECT 'first', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'first, later', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'reopened', count(*) FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'recovered', count(*) FROM nation)")
+def r3s(spark, sf_dir):
+    """Documents added one by one; a snapshot stays as it was; what was logged before a crash is there after it."""
+    root, schema = shared.folder(spark), Schema.from_mappings({"mappings": {"n_name": {"stored": True}}})
+    nations = [(r.n_nationkey, {"_id": str(r.n_nationkey), "n_name": r.n_name}) for r in read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    writer, out = IndexWriter(spark, root, schema), []
+    out.append(("empty", writer.reader().doc_count()))
+    writer.add_documents([d for k, d in nations if k % 2 == 0], [json.dumps(d, indent=1) for k, d in nations if k % 2 == 0])
+    out.append(("pending", writer.reader().doc_count()))
+    writer.refresh()
+    first = writer.reader()
+    out.append(("first", first.doc_count()))
+    for k, d in nations:
+        if k % 2:
+            writer.add_document(d)
+    del writer  # as in a crash: neither refreshed nor closed
+    again = IndexWriter(spark, root)
+    out.append(("reopened", again.reader().doc_count()))
+    again.refresh()
+    out += [("recovered", again.reader().doc_count()), ("first, later", first.doc_count())]
+    return spark.createDataFrame(out, "moment string, docs bigint")
+
+
+@query("g14_mean_quality", f"SELECT round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision, round(avg(mrr), 5) AS mrr FROM ({SQL['x14_quality']})")
+def g14(spark, sf_dir):
+    return metrics.mean_quality(x14(spark, sf_dir)).select(*(F.round(c, 5).alias(c) for c in ("ndcg", "precision", "mrr")))
+
+
+@query("k11_quality_report", f"SELECT count(*) AS queries, round(avg(ndcg), 4) AS ndcg, round(avg(precision), 4) AS precision, round(avg(mrr), 4) AS mrr FROM ({SQL['x14_quality']}) WHERE query_id IN ('q1', 'q2')")
+def k11(spark, sf_dir):
+    asked = spark.createDataFrame(_TWO[:2], "query_id string, query string")
+    judged = _judgments(spark, sf_dir).join(F.broadcast(asked), "query_id").select("query", F.col("id").cast("string").alias("doc_id"), "label")  # two rows
+    got = report.quality_report(spark, report.engine(documents_index(spark, sf_dir), "text"), judged)
+    return spark.createDataFrame([(got["queries"], round(got["ndcg@10"], 4), round(got["p@5"], 4), round(got["mrr"], 4))], "queries bigint, ndcg double, precision double, mrr double")
+
+
+@query("k8_pool_file", "SELECT max(quality)::VARCHAR AS label, '3' AS query_id, 21 AS columns, count(*) OVER () AS rows FROM labels GROUP BY doc_id")
+def k8(spark, sf_dir):
+    judged = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).select(F.lit("that AND was").alias("query"), F.col("doc_id").cast("string").alias("doc_id"), "label", F.lit(3).alias("query_id"))
+    path = f"{shared.folder(spark)}/pool"
+    write_pool(pool(documents_index(spark, sf_dir, quality=True), judged, "text"), path)
+    parts = F.split("value", "\t", -1)
+    lines = spark.read.text(path).select(parts[0].alias("label"), parts[1].alias("query_id"), F.size(parts).alias("columns"))
+    return lines.crossJoin(F.broadcast(lines.agg(F.count("*").alias("rows"))))
+
+
+def _lines(spark, rows: DataFrame) -> str:
+    """Lines of text written to the shared folder."""
+    path = f"{shared.folder(spark)}/lines"
+    rows.select("value").write.text(path)
+    return path
+
+
+@query("s10_judgments", "SELECT 'q' || doc_id % 7 AS query, doc_id::VARCHAR AS doc_id, quality::INTEGER AS label, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END AS query_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL")
+def s10(spark, sf_dir):
+    labels = read(spark, sf_dir, "labels")
+    good = labels.select(F.to_json(F.struct(F.concat(F.lit("q"), F.col("doc_id") % 7).alias("query"), F.col("doc_id").cast("string").alias("doc_id"), (F.col("quality") + 0.9).alias("label"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 7).alias("query_id"))).alias("value"))
+    broken = labels.select(F.concat(F.lit('{"query": "q", "label": 1, "doc_id": '), F.col("doc_id")).alias("value"))
+    return D.read_judgments(spark, _lines(spark, good.unionByName(broken))).drop("line")
+
+
+@query("s16_query_list", "SELECT CASE WHEN item_id % 3 = 1 THEN 'title' END AS field, 'word' || item_id AS query FROM benchmark WHERE item_id % 3 > 0")
+def s16(spark, sf_dir):
+    item = F.col("item_id")
+    rows = read(spark, sf_dir, "benchmark").select(F.when(item % 3 == 0, F.concat(F.lit("# word"), item)).when(item % 3 == 1, F.concat(F.lit("title\tword"), item)).otherwise(F.concat(F.lit("  word"), item, F.lit(" \n"))).alias("value"))
+    return D.read_queries(spark, _lines(spark, rows))
+
+
+@query("s17_corpus", "SELECT p_partkey::VARCHAR AS _id, p_name FROM part")
+def s17(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.to_json(F.struct(F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).alias("_id"), F.when(F.col("p_partkey") % 2 == 1, F.col("p_partkey")).alias("id"), "p_name")).alias("value"))
+    return D.read_corpus(spark, _lines(spark, rows)).select("_id", "p_name")
+
+
+@query("s9_mapping", "SELECT * FROM (VALUES (0, '_id', 'keyword', 'keyword', true, 1.0, 0.0), (1, 'lang', 'keyword', 'keyword', false, 2.0, 0.0), (2, 'source', 'keyword', 'keyword', true, 1.0, 0.0), (3, 'text', 'text', 'standard', false, 1.5, 0.5)) AS v(place, name, type, analyzer, stored, boost, position_decay)".replace("1.0, 0.0", "1.0::DOUBLE, 0.0::DOUBLE").replace("2.0, 0.0", "2.0::DOUBLE, 0.0::DOUBLE").replace("1.5, 0.5", "1.5::DOUBLE, 0.5::DOUBLE"))
+def s9(spark, sf_dir):
+    path = f"{shared.folder(spark)}/mapping.json"
+    Files(spark).write(path, json.dumps(MAPPING))
+    schema = D.read_mapping(path, spark)
+    return spark.createDataFrame([(i, f.name, f.type, f.analyzed_by, f.stored, f.boost, f.position_decay) for i, f in enumerate(schema.fields)], "place int, name string, type string, analyzer string, stored boolean, boost double, position_decay double")
