@@ -86,6 +86,38 @@ def test_many_copies_and_a_shared_passage_of_the_least_length(spark):
     assert {i for i, _ in some} == {*range(40), *range(200, 500)}
 
 
+@pytest.mark.parametrize("m", [6, 20])
+def test_hot_anchors_are_cut_into_passages(spark, m, monkeypatch):
+    """With a bound of one class every anchor that repeats is hot: the result is the same."""
+    was = S._classify
+    monkeypatch.setattr(S, "HOT", 1)
+    monkeypatch.setattr(S, "_classify", lambda batches: was(batches))  # goes to the workers by value, the bound with it
+    compare(spark, corpus(m, 50), m)
+
+
+def test_classify_streams(monkeypatch):
+    """Batches that end anywhere give the same kinds, whether a group becomes hot or not."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((g, c, 0, i) for g in range(6) for c in range(rng.choice([1, 2, 9, 30])) for i in range(rng.choice([1, 1, 3])))
+    cols = list(zip(*rows))
+    table = pa.table({"g": pa.array(cols[0], pa.int64()), "c": pa.array(cols[1], pa.int64()), "d": pa.array(cols[2], pa.int64()), "doc_id": pa.array([f"d{i}" for i in range(len(rows))]), "th": pa.array([7] * len(rows), pa.int64()), "at": pa.array(cols[3], pa.int32()), "before": pa.array([0] * len(rows), pa.int32()), "after": pa.array([9] * len(rows), pa.int32())})
+    for hot in (4, 100):
+        monkeypatch.setattr(S, "HOT", hot)
+        got = [sorted(str(r) for b in S._classify(iter(table.to_batches(n))) for r in b.to_pylist()) for n in (1, 2, 5, 10_000)]
+        assert got[0] == got[1] == got[2] == got[3]
+        kinds = {r["kind"] for b in S._classify(iter(table.to_batches())) for r in b.to_pylist()}
+        assert (3 in kinds) == (hot == 4)
+
+
+def test_ids_of_another_type(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("b", text), ("a", "x " + text), (None, text)], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.copy_of, r.start_word, len(r.cuts)) for r in S.repeated_passages(df).collect()), key=repr)
+    assert got == [("a", None, 1, 0), ("b", "a", 0, 1), (None, "a", 0, 1)] or got == [("a", None, 1, 0), ("b", "a", 0, 1), (None, "b", 0, 1)]
+
+
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert S.repeated_passages(df).count() == 0
