@@ -81,15 +81,47 @@ def test_long_single_lines(spark):
 
 def test_array_is_sorted(spark):
     rows = [(1, "b\na\nb\na\nc"), (2, "a\nb\na"), (3, "c\nq")]
-    seqs, state = L.suffix_array(frame(spark, rows), 2)
-    ids = {(r.doc_id): list(r.lines) for r in seqs.collect()}
-    places = [(r.doc_id, r.i) for r in state.orderBy("rank").collect()]
+    seqs, intervals, array, firsts = L.suffix_array(frame(spark, rows), 2)
+    ids = {r.doc_id: list(zip(r.hi, r.lo)) for r in seqs.collect()}
+    places = [(r.doc_id, r.i) for r in array.orderBy("rank").collect()]
     seen = [x for s in ids.values() for x in s]
-    assert sorted(r.rank for r in state.collect()) == list(range(len(places)))
-    firsts = [ids[d][i] for d, i in places]
-    assert firsts == sorted(firsts)
+    assert sorted(r.rank for r in array.collect()) == list(range(len(places)))
+    heads = [ids[d][i] for d, i in places]
+    assert heads == sorted(heads)
     pairs = [[x for x in ids[d][i : i + 2]] for d, i in places]
     full = [p for p in pairs if len(p) == 2 and all(seen.count(x) > 1 for x in p)]
     assert full == sorted(full)
-    lcp = {(r.doc_id, r.i, r.before_id, r.before_i): r.lcp for r in L.longest_common(seqs, state).collect()}
+    groups = {}
+    for r in intervals.collect():
+        groups.setdefault(r.rank, []).append(tuple(ids[r.doc_id][r.i : r.i + 2]))
+    assert groups and all(len(g) > 1 and len(set(g)) == 1 and g[0] == tuple(pairs[rank]) for rank, g in groups.items())
+    lcp = {(r.doc_id, r.i, r.before_id, r.before_i): r.lcp for r in L.longest_common(array, firsts).collect()}
     assert 3 in lcp.values() and all(ids[a][i : i + n] == ids[b][j : j + n] and ids[a][i : i + n + 1] != ids[b][j : j + n + 1] or i + n == len(ids[a]) or j + n == len(ids[b]) for (a, i, b, j), n in lcp.items())
+
+
+@pytest.mark.parametrize("need", [2, 3, 5])
+def test_short_and_whole_array_delete_the_same(spark, need):
+    rnd = random.Random(need)
+    block = [f"b{i}" for i in range(9)]
+    rows = [(f"d{i:02}", "\n".join(block[rnd.randint(0, 4) : rnd.randint(5, 9)] + [f"u{i}"] + block[: rnd.randint(0, 6)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    whole = {(r.doc_id, r.text) for r in L.line_dedup(docs, need, with_runs=True).collect()}
+    assert whole == {(r.doc_id, r.text) for r in L.line_dedup(docs, need).collect()} == {r[:2] for r in brute(rows, need)}
+
+
+def test_a_common_line_does_not_fill_one_task(spark, monkeypatch):
+    """One line in half of all documents, with another line behind it in each: the groups that the windows of the sums get stay as small as they are set, whatever the line's share."""
+    monkeypatch.setattr(L, "GROUP", 3)
+    rows = [(i, f"common\nsecond {i % 100}\nthird {i % 25}\nown {i}" if i % 2 else f"only {i}\nmine {i}") for i in range(400)]
+    sizes = []
+    over = L.Window.partitionBy
+
+    def watched(*by):
+        sizes.append(by)
+        return over(*by)
+
+    monkeypatch.setattr(L.Window, "partitionBy", staticmethod(watched))
+    got = [(r.doc_id, r.text, r.lines_deleted, r.longest_run) for r in L.line_dedup(frame(spark, rows), with_runs=True).collect()]
+    assert sorted(got, key=repr) == brute(rows, 2)
+    # windows over a rank alone are those of the groups' totals, one row for 2 ** GROUP ranks
+    assert {by for by in sizes if all(isinstance(c, str) for c in by) and "rank" in by} == {("rank",), ("rank", "g")}
