@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -83,3 +84,56 @@ def test_edge_cases(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert Q.train(docs, none) == Q.NEUTRAL
     assert Q.quality_rules(docs, Q.NEUTRAL).count() == 5
+
+
+def plain_lines(text):
+    """(features, bytes) of the lines that aren't blank, byte by byte."""
+    word = lambda b: b >= 128 or chr(b).isalnum()
+    out = []
+    for line in text.encode().split(b"\n"):
+        if not line.strip(b" \t\r"):
+            continue
+        n = lambda chars: sum(b in chars for b in line)
+        chars = max(sum(b & 0xC0 != 0x80 for b in line), 1)
+        letters = sum(chr(b).isalpha() if b < 128 else b >= 0xC0 for b in line)
+        words, now = [], b""
+        for b in [*line, 32]:
+            if word(b):
+                now += bytes([b])
+            elif now:
+                words.append(now)
+                now = b""
+        look = [(len(w), w[0], w[-1], line_at) for w, line_at in zip(words, (w[len(w) // 2] for w in words))]
+        m = max(len(words), 1)
+        lag = lambda k: sum(look[i] == look[i - k] for i in range(k, len(look))) / m
+        x = [1, letters / chars, sum(65 <= b <= 90 for b in line) / max(letters, 1), n(b"0123456789") / chars, n(b" \t\r") / chars, 4 * n(b"#$%&*|<>{}[]=~^\\_/@+") / chars, 4 * n(b"!?") / chars, 4 * n(b".,;:'\"") / chars, math.log1p(chars) / 6, min(sum(map(len, words)) / m, 30) / 10, sum(len(w) <= 3 for w in words) / m, lag(1), lag(2), line[-1] in b".!?:;\"'", 65 <= line[0] <= 90]
+        out.append((x, len(line)))
+    return out
+
+
+def test_whole_decision_by_a_plain_version(spark):
+    """From the bytes to the share, without the operator's own features: all labellings of a document are tried."""
+    rng, rnd = np.random.default_rng(3), random.Random(3)
+    piece = ["Hello world.", "été noël", "ABC 12 34 !!!", "na na na na na", "#$% *** ===", "\t x", " ", "", "a ab a ab a", "x\r", "日本語 テキスト", "Ünder, 'quoted'"]
+    texts = ["\n".join(" ".join(rnd.choices(piece, k=rnd.randint(1, 3))) for _ in range(rnd.randint(1, 7))) for _ in range(60)] + ["", " \n ", None]
+    model = Q.Model(tuple(rng.normal(size=len(Q.FEATURES))), ((0.7, -0.4), (-0.3, 0.6)), 0.2)
+    got = Q.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model, 0.1, keep_scores=True).collect()
+    want = {}
+    for i, t in enumerate(texts):
+        lines = plain_lines(t or "")
+        if not lines:
+            continue
+        score = [sum(w * v for w, v in zip(model.weights, x)) for x, _ in lines]
+        value = lambda y: sum(s * k for s, k in zip(score, y)) + model.start * y[0] + sum(model.trans[a][b] for a, b in zip(y, y[1:]))  # noqa: E731, B023
+        best = max(itertools.product((0, 1), repeat=len(lines)), key=value)
+        share = sum(n for (_, n), k in zip(lines, best) if not k) / sum(n for _, n in lines)
+        if share >= 0.1:
+            want[i] = ("".join("CB"[k] for k in best), share)
+    assert {r.doc_id: r.line_labels for r in got} == {i: x for i, (x, _) in want.items()} and 5 < len(want) < 61
+    assert all(abs(r.content_share - want[r.doc_id][1]) < 1e-12 for r in got)
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"Text number {i}.") for i in range(50)] + [(2, "### !!!")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id bigint, quality int")
+    assert Q.train(docs, labels) == Q.fit(["Text number 0.", "### !!!"], [1, 0])

@@ -181,11 +181,11 @@ def fit(texts: list[str | None], quality: list[int], rounds: int = 200, l2: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, id_col: str = "doc_id", text: str = "text") -> Model:
-    """Fits on at most per_class labelled documents of quality 0 and as many of quality 1. Rows with a null id, quality or text are left out."""
+    """Fits on at most per_class labelled documents of quality 0 and as many of quality 1. Rows with a null id, quality or text are left out; of the texts of one id the least is taken."""
     known = labels.where(f"{id_col} is not null and quality in (0, 1)").groupBy(id_col).agg(F.min("quality").alias("q"))
     parts = [known.where(f"q = {q}").orderBy(F.xxhash64(F.lit(11), id_col), id_col).limit(per_class) for q in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col(id_col).alias("k"), "q")  # at most 2 * per_class rows of two numbers, whatever the input
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").orderBy("k", "t").collect()
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"), F.min("q").alias("q")).orderBy("k").collect()
     return fit([r.t for r in rows], [r.q for r in rows])
 
 
