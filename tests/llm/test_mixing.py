@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import mixing as M
 
@@ -47,42 +48,68 @@ def test_draws_follow_the_distribution():
     assert np.var(got) == pytest.approx(25 * 0.3 * 0.7 * 75 / 99, rel=0.12)
 
 
-def reference(rows, **kw):
-    """The draw over plain lists."""
-    import pyspark.sql.functions as F
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    hashed = {(r.doc_id, r.source): r.h for r in spark.createDataFrame(rows, "doc_id bigint, source string").select("doc_id", "source", F.xxhash64(F.lit(M.SEED), "doc_id").alias("h")).collect()}
-    count = Counter(s for _, s in rows)
+def reference(docs, **kw):
+    """{(doc_id, source): shard} of the draw over plain lists; ids are distinct."""
+    rows = [tuple(r) for r in docs.select("doc_id", "source", F.xxhash64(F.lit(M.SEED), *docs.columns)).collect()]
+    count = Counter(s for _, s, _ in rows)
     names = sorted(count, key=lambda s: (s is None, s or ""))
     blocks = {s: max(1, round(count[s] / kw["block_rows"])) for s in names}
-    take = M.quotas(blocks, {s: count[s] ** M.ALPHA for s in names})
+    take = M.quotas(blocks, {s: count[s] ** M.ALPHA for s in names}, kw.get("share", M.SHARE))
     kept = sum(take[s] * count[s] / blocks[s] for s in names)
     shards = max(1, -(-round(kept) // kw["shard_rows"]))
     out = {}
     for k, s in enumerate(names):
-        own = sorted((r for r in rows if r[1] == s), key=lambda r: (hashed[r] % 2**64, r[0]))
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: r[2] % 2**64)
         for shard in range(shards):
             first, n = M.leaf(np.array([take[x] for x in names]), shards, shard, M.SEED)
             for b in M.permuted(np.arange(first[k], first[k] + n[k]), blocks[s], M.SEED * 1_000_003 + k):
-                out |= {r: shard for i, r in enumerate(own) if i * blocks[s] // len(own) == b}
+                out |= {r[:2]: shard for i, r in enumerate(own) if i * blocks[s] // len(own) == b}
     return out
 
 
-def test_equals_plain_draw(spark):
+@pytest.mark.parametrize("share", [None, 0.6, 1.0])
+def test_equals_plain_draw(spark, share):
     rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(5000)]
-    kw = {"block_rows": 8, "shard_rows": 300}
-    found = M.mix_sources(frame(spark, rows).drop("shard"), placed=True, **kw).collect()
-    assert {(r.doc_id, r.source): r.shard for r in found} == reference(rows, **kw)
+    kw = {"block_rows": 8, "shard_rows": 300, "share": share}
+    docs = frame(spark, rows)
+    found = M.mix_sources(docs, placed=True, **kw).collect()
+    assert {(r.doc_id, r.source): r.shard for r in found} == reference(docs, **kw)
     by = Counter(r.shard for r in found)
     assert all(sorted(r.slot for r in found if r.shard == k) == list(range(n)) for k, n in by.items())
     assert len({r.doc_id for r in found}) == len(found)
 
 
+def test_more_blocks_than_numpy_draws():
+    rng = np.random.default_rng(4)
+    for quota in ([7, 0, 3, 10**12, 10**10], [10**9, 1], [3 * 10**9] * 40, [0, 10**11]):
+        quota = np.array(quota)
+        for size in (0, 1, int(quota.sum()) // 3, int(quota.sum()) - 1, int(quota.sum())):
+            got = M.draw(quota, size, rng)
+            assert got.sum() == size and (got >= 0).all() and (got <= quota).all()
+    small = np.array([[*M.draw(np.array([30, 70, 100]), 60, rng, most=50)] for _ in range(4000)])  # in units of 4
+    assert small.sum(1).tolist() == [60] * 4000 and small.mean(0) == pytest.approx([9, 21, 30], abs=4)
+    ends = np.zeros(2, int)
+    for shard in range(3):
+        first, n = M.leaf(np.array([4 * 10**9, 10**9]), 3, shard, 3)
+        assert (first == ends).all()
+        ends = first + n
+    assert ends.tolist() == [4 * 10**9, 10**9]
+
+
+def test_draw_does_not_depend_on_the_tasks(spark):
+    """Ids that repeat or are null, texts that repeat, in another order and other partitions: the same rows."""
+    rows = [(None if i % 3 == 0 else i % 50, f"text {i % 400}", "a" if i % 3 else "b") for i in range(1500)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id int, text string, source string")
+    one = sorted(map(repr, M.mix_sources(df(rows), {"a": 1.0, "b": 0.2}, block_rows=4, shard_rows=100, placed=True, share=0.5).drop("slot").collect()))
+    two = sorted(map(repr, M.mix_sources(df(rows[::-1]).repartition(7), {"a": 1.0, "b": 0.2}, block_rows=4, shard_rows=100, placed=True, share=0.5).drop("slot").collect()))
+    assert one == two and 600 < len(one) < 900
+    named = df(rows).withColumns({"doc_id": F.lit("id"), "m": F.create_map(F.lit("k"), "text")})
+    assert M.mix_sources(named, placed=True).columns == ["doc_id", "text", "source", "m", "shard", "slot"]
+
+
 def test_weights_are_met(spark):
     rows = [(i, "abc"[min(i % 10, 2)]) for i in range(20_000)]
-    got = Counter(r.source for r in M.mix_sources(frame(spark, rows), {"a": 0.5, "b": 0.25, "c": 0.25}, block_rows=10).collect())
+    got = Counter(r.source for r in M.mix_sources(frame(spark, rows), {"a": 0.5, "b": 0.25, "c": 0.25}, block_rows=10, share=None).collect())
     assert got["a"] == 2000 and got["b"] == got["c"] == 1000
 
 
@@ -109,11 +136,11 @@ def test_query_keeps_the_corpus_beside_a_scarce_source(spark, tmp_path):
 def test_edge_cases(spark):
     rows = [(None, "a")] * 5 + [(1, "a"), (1, "a"), (2, None), (3, None), (4, "")]
     docs = frame(spark, rows)
-    out = M.mix_sources(docs, block_rows=1, alpha=1.0)
+    out = M.mix_sources(docs, block_rows=1, alpha=1.0, share=None)
     assert out.columns == docs.columns and out.count() == 10
     assert M.mix_sources(docs, {None: 1.0}).count() == 2
     assert M.mix_sources(docs, {"missing": 1.0}).count() == 0
     empty = docs.limit(0)
     assert M.mix_sources(empty).count() == 0
-    again = [tuple(r) for r in M.mix_sources(docs, block_rows=1, alpha=1.0).collect()]
+    again = [tuple(r) for r in M.mix_sources(docs, block_rows=1, alpha=1.0, share=None).collect()]
     assert again == [tuple(r) for r in out.collect()]

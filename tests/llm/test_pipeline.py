@@ -59,10 +59,10 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     text = {i: t for i, t, *_ in test_linededup.brute([(r[0], r[1]) for r in plain], 2)}
     after = [(i, text[i], a, s, n if text[i] == t else len(text[i])) for i, t, a, s, n in plain if i in text]
     assert sorted(tuple(r) for r in stages[1].collect()) == sorted(after) and after != plain
-    least = test_minhash.groups(test_minhash.brute([(r[0], r[1]) for r in after], 28))
-    single = [r for r in after if least.get(r[0], r[0]) == r[0]]
+    stay = set(test_minhash.kept([(r[0], r[1]) for r in after]))
+    single = [r for r in after if (r[0], r[1]) in stay]
     assert sorted(tuple(r) for r in stages[2].collect()) == sorted(single) and len(single) < len(after)
-    drawn = test_mixing.reference([(r[0], r[3]) for r in single], block_rows=M.BLOCK_ROWS, shard_rows=M.SHARD_ROWS)
+    drawn = test_mixing.reference(stages[2], block_rows=M.BLOCK_ROWS, shard_rows=M.SHARD_ROWS)
     mixed = [r for r in single if (r[0], r[3]) in drawn]
     assert sorted(map(repr, (tuple(r) for r in stages[3].collect()))) == sorted(map(repr, mixed))
     tokens = {r.doc_id: (list(r.tokens), r.intact) for r in stages[4].collect()}
