@@ -269,6 +269,7 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     per = heads.select("cls", "sig", "n").join(counts.withColumnRenamed("id", "cls"), "cls", "left").join(least.withColumnRenamed("id", "cls"), "cls", "left")
     linked = per.select("sig", F.coalesce("least", "cls").alias("group"), (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("links")).where("links > 0")
     members = scratch.cut(sigs.join(linked, "sig").select("id", "group", "links"))
+    scratch.clear(members)
     ids = members.groupBy("group").agg(F.min("id").alias("class_id"))
     return members.join(ids, "group").select(F.col("id").alias("doc_id"), "class_id", "links")
 
@@ -305,6 +306,7 @@ def near_dedup(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, shingl
     tops = heads.join(least.select(F.col("least").alias("cls")).distinct(), "cls").where("n = 1").select("sig", F.col("cls").alias("group"))
     place = F.struct(F.col("id").isNull().alias("z"), "id", "th")
     members = scratch.cut(sigs.join(per.unionByName(tops), "sig").select("group", place.alias("place")))
+    scratch.clear(members)
     stays = members.groupBy("group").agg(F.min("place").alias("first"))
     own = {c: C.free_name(docs, f"tw_{c}") for c in ("id", "th", "key")}
     gone = members.join(stays, "group").where("place != first").select(F.col("place.id").alias(own["id"]), F.col("place.th").alias(own["th"]))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import bpe, htmltext, linededup, minhash, mixing, ogg, quality, suffixdedup, tokencount, warc
-from tidewater.llm.common import read
+from tidewater.llm.common import BASE_A, BASE_B, read
 from tidewater.llm.registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -18,7 +18,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, quality.train(docs, read(spark, sf_dir, "labels")), keep_scores=True)
 
 
-@query("op3_minhash_near_dedup")
+_M = "18446744073709551616::UHUGEINT"
+
+
+def _times(a: str, b: str) -> str:
+    """The product modulo 2**64."""
+    return f"((({a})::UHUGEINT * ({b})::UHUGEINT) % {_M})::UBIGINT"
+
+
+def _mixed(x: str, name: str) -> str:
+    """A query of name(..., h) with h spread as common.mix does, from one with x."""
+    one = _times("xor(x, x >> 30)", f"{0xBF58476D1CE4E5B9}::UBIGINT")
+    two = _times("xor(y, y >> 27)", f"{0x94D049BB133111EB}::UBIGINT")
+    return f"{name} AS (SELECT * EXCLUDE (x, y, z), xor(z, z >> 31) AS h FROM (SELECT *, {two} AS z FROM (SELECT *, {one} AS y FROM ({x}))))"
+
+
+@query(
+    "op3_minhash_near_dedup",
+    f"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS k, len(ws) AS n FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9[:^ascii:]]+') AS ws FROM documents WHERE text IS NOT NULL)),
+bytes AS (SELECT w, strlen(w) AS n, unnest(range(strlen(w))) AS i, hex(w) AS x FROM (SELECT DISTINCT w FROM w)),
+longest AS MATERIALIZED (SELECT max(n) AS most FROM bytes),
+powers AS (SELECT 0 AS i, 1::UBIGINT AS p UNION ALL SELECT i + 1, {_times("p", f"{BASE_A}::UBIGINT")} FROM powers, longest WHERE i < most),
+{_mixed(f"SELECT w, xor((sum((('0x' || x[2 * b.i + 1:2 * b.i + 2])::INTEGER + 1)::HUGEINT * p) % {_M.replace('UHUGEINT', 'HUGEINT')})::UBIGINT, n::UBIGINT << 48) AS x FROM bytes b JOIN powers ON powers.i = b.i GROUP BY w, n", "words")},
+placed AS (SELECT doc_id, k, n, h, coalesce(lead(h) OVER o, 2) AS h1, coalesce(lead(h, 2) OVER o, 3) AS h2 FROM w JOIN words USING (w) WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+{_mixed(f"SELECT DISTINCT doc_id, (({_times('h', f'{BASE_A}::UBIGINT')}::UHUGEINT + {_times('h1', f'{pow(BASE_A, 2, 1 << 64)}::UBIGINT')} + {_times('h2', f'{pow(BASE_A, 3, 1 << 64)}::UBIGINT')}) % {_M})::UBIGINT AS x FROM placed WHERE k <= n - 3 OR k = 0", "grams")},
+{_mixed(f"SELECT i, {_times('i', f'{BASE_B}::UBIGINT')} AS x FROM range(1, 65) AS r(i)", "seeds")},
+sig AS (SELECT doc_id, i, min({_times("xor(g.h, s.h)", f"{BASE_A}::UBIGINT")}) >> 32 AS v FROM grams g, seeds s GROUP BY doc_id, i),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sig a JOIN sig b ON a.i = b.i AND a.v = b.v AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= 28),
+reached AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reached r JOIN pairs p ON p.a = r.b)
+SELECT a AS doc_id, (SELECT min(b) FROM reached r WHERE r.a = pairs.a) AS class_id, count(*) AS links FROM pairs GROUP BY a
+""",
+)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -59,7 +90,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_mix_sources")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True, share=1.0)
+    return mixing.mix_sources(read(spark, sf_dir, "documents"), placed=True)
 
 
 @query("op7_bpe_encode")
@@ -105,7 +136,7 @@ both_ AS (
   SELECT 'metadata', 'application/json', to_json({{
     'warc': {{'WARC-Record-ID': refers_to, 'WARC-Type': 'response', 'WARC-Target-URI': url, 'WARC-Date': '2024-01-01T00:00:00Z', 'Content-Type': 'application/http; msgtype=response', 'WARC-Payload-Digest': pd, 'WARC-Block-Digest': bd}},
     'http': {{'status': 200, 'headers': [{{'name': 'Content-Type', 'value': 'text/html; charset=utf-8'}}, {{'name': 'Content-Length', 'value': n::VARCHAR}}, {{'name': 'X-Page', 'value': page_id::VARCHAR}}], 'body_length': n}},
-    'html': {{'title': regexp_replace(trim(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)), '\s+', ' ', 'g'), 'links': regexp_extract_all(body, '(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"', 1)}}}})::VARCHAR, * FROM plain),
+    'html': {{'title': regexp_replace(trim(regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)), '\s+', ' ', 'g'), 'links': list_transform(regexp_extract_all(body, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), lambda x: trim(x, '"'''))}}}})::VARCHAR, * FROM plain),
 named AS (SELECT *, md5(warc_type || chr(10) || refers_to) AS d, sha1(block) AS s FROM both_)
 SELECT {_urn("d")} AS record_id, warc_type, refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
   pd AS source_payload_digest, bd AS source_block_digest, 200::INTEGER AS status, {_base32("s")} AS block_digest, strlen(block)::INTEGER AS content_length, block
@@ -144,12 +175,14 @@ WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9[:^ascii:]]+')
 passages AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 50], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
 repeated AS (SELECT doc_id, i, k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY p) AS n, row_number() OVER (PARTITION BY p ORDER BY doc_id, i) AS k FROM passages) WHERE n > 1),
 spans AS (SELECT doc_id, i, k, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM repeated)),
-later AS (SELECT doc_id, span, sum(least(50, coalesce(i - before, 50))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM spans WHERE k > 1) GROUP BY ALL)
-SELECT s.doc_id, min(i)::INTEGER AS start_word, (max(i) + 50)::INTEGER AS end_word, coalesce(any_value(later.n), 0)::INTEGER AS later_words
-FROM spans s LEFT JOIN later ON later.doc_id = s.doc_id AND later.span = s.span GROUP BY s.doc_id, s.span
+later AS (SELECT doc_id, i, span, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS cut FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM spans WHERE k > 1)),
+cuts AS (SELECT doc_id, span, sum(b - a) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS cuts FROM (SELECT doc_id, span, cut, min(i) AS a, max(i) + 50 AS b FROM later GROUP BY ALL) GROUP BY ALL)
+SELECT s.doc_id, min(i)::INTEGER AS start_word, (max(i) + 50)::INTEGER AS end_word, coalesce(any_value(cuts.n), 0)::INTEGER AS later_words, coalesce(any_value(cuts.cuts), '') AS cuts
+FROM spans s LEFT JOIN cuts ON cuts.doc_id = s.doc_id AND cuts.span = s.span GROUP BY s.doc_id, s.span
 """,
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
     later = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["end"] - c["start"])
-    return found.select("doc_id", "start_word", "end_word", later.alias("later_words"))
+    cuts = F.concat_ws(",", F.transform("cuts", lambda c: F.concat_ws("-", c["start"], c["end"])))
+    return found.select("doc_id", "start_word", "end_word", later.alias("later_words"), cuts.alias("cuts"))
