@@ -26,12 +26,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the least id stays."""
+    """Of each group of near copies the document of the least id stays, be they linked directly or through others."""
     return minhash.near_dedup(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are drawn to their target weights."""
+    """Sources are drawn to their target weights; a scarce source gives all it has and doesn't bind the others."""
     return mixing.mix_sources(docs)
 
 
@@ -57,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.cut(docs)
+            scratch.clear(docs)  # what the stage read isn't needed any more
     return docs
