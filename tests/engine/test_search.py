@@ -115,7 +115,9 @@ def test_hits_equal_loops(spark, segments):
     index.postings.unpersist()
 
 
-def test_batch_equals_single(spark):
+@pytest.mark.parametrize("filtered", [2000, 3])
+def test_batch_equals_single(spark, monkeypatch, filtered):
+    monkeypatch.setattr(S, "FILTERED_TERMS", filtered)
     rows = docs(60, 2)
     index = index_of(spark, rows, 2)
     plain = Plain(rows)

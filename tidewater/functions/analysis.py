@@ -10,7 +10,10 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STOP_WORDS = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "the", "to", "with")
@@ -65,15 +68,29 @@ def analyze(text: str, name: str = "standard") -> list[str]:
     return find(name).plain(text)
 
 
+def _sums(column: pa.Array) -> pa.Array:
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(size)))
+    before = np.concatenate(([0], upto))[first[:-1]]
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(upto - np.repeat(before, size)), mask=column.is_null())
+
+
+def running_sums(numbers: Column) -> Column:
+    """For each array of numbers the sums up to each of them; null stays null."""
+    return F.arrow_udf(_sums, "array<bigint>")(numbers)
+
+
 def token_table(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key..., position, token, start, end): every token that isn't a stop word. position counts stop words too; start and end are byte offsets.
 
-    The offsets are running sums over what lies between the tokens, so nothing leaves the JVM. key must identify a row.
+    The offsets are running sums over what lies between the tokens. No token moves to another task for it: the lengths of a row's
+    pieces, and nothing else, are summed in Arrow batches.
     """
     whole = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    between = F.split(F.col(text), TOKEN, -1)
-    parts = df.select(*key, F.posexplode(F.arrays_zip(whole.alias("token"), between.alias("gap"))).alias("position", "x")).where("x.token is not null")
-    before = Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.octet_length("x.token") + F.octet_length("x.gap")).over(before)
-    placed = parts.select(*key, "position", F.lower("x.token").alias("token"), (end - F.octet_length("x.token")).alias("start"), end.alias("end"))
-    return placed.where(~F.col("token").isin(*STOP_WORDS))
+    between = F.slice(F.split(F.col(text), TOKEN, -1), F.lit(1), F.size(whole))
+    sizes = F.zip_with(whole, between, lambda t, g: F.octet_length(t) + F.octet_length(g))
+    parts = df.select(*key, whole.alias("tokens"), running_sums(sizes).alias("ends"))
+    each = parts.select(*key, F.posexplode(F.arrays_zip("tokens", "ends")).alias("position", "x"))
+    token = F.lower("x.tokens")
+    return each.where(~token.isin(*STOP_WORDS)).select(*key, "position", token.alias("token"), (F.col("x.ends") - F.octet_length("x.tokens")).alias("start"), F.col("x.ends").alias("end"))

@@ -22,6 +22,8 @@ from tidewater.plans import query as Q
 MAX_LEAVES = 63
 #: Rows up to which a side that the caller sized is broadcast; beyond, the join is left to the optimizer.
 BROADCAST_ROWS = 10_000
+#: Different terms of a batch that are looked for by a filter; more by a join.
+FILTERED_TERMS = 2000
 
 
 @dataclass
@@ -225,8 +227,11 @@ def search_many(index: Index, queries: list[tuple], default_field: str | None =
     leaf_rows, mask_rows, all_rows, alone = _batch(index, queries, default_field or index.schema.default_field())
     leaves = spark.createDataFrame(leaf_rows, "query_id string, bit int, field string, term string, times int")
     masks = spark.createDataFrame(mask_rows, "query_id string, masks array<bigint>, terms int")
-    terms = leaves.select("field", "term").distinct()
-    own = index.postings.join(_sized(terms, len(leaf_rows)), ["field", "term"])
+    pairs = sorted({r[2:4] for r in leaf_rows})
+    if len(pairs) <= FILTERED_TERMS:  # a filter reaches the scan, and goes below the counting of an index that isn't stored
+        own = index.postings.where(_any_of(pairs))
+    else:
+        own = index.postings.join(_sized(leaves.select("field", "term").distinct(), len(leaf_rows)), ["field", "term"])
     n_docs = index.docs.agg(F.count("*").alias("n_docs"))
     idf = own.groupBy("field", "term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs)).select("field", "term", scoring.bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
     known = leaves.join(idf, ["field", "term"])
