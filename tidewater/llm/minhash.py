@@ -15,7 +15,7 @@ list of more than PART members is cut into parts, and each task merges two of th
 so no task holds a list whole. What comes out of a task are for each member the number of
 documents it matches, and as few links as join the same members: never its pairs.
 Where only the links are asked for (near_dedup), members that are reached are compared
-no more, so a group of near copies costs its size, not the square of it.
+no more, so comparisons in a group of near copies follow its size, not the square of it.
 """
 
 from __future__ import annotations
