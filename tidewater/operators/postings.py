@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions import analysis, scoring
-from tidewater.plans.schema import Schema
+from tidewater.plans.schema import FieldMapping, Schema
 
 POSTINGS = "seg int, doc bigint, field string, term string, tf int, first_pos int, weight_q8 smallint"
 DOCS = "seg int, doc bigint, _id string, stored string, quality float"
+#: Numbers of rows that bear the same one, up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 FIELD_STATS = "seg int, field string, doc_count bigint, sum_field_length bigint, term_count bigint"
 
 
@@ -38,35 +40,60 @@ def document_rows(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Col
     return df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), number.cast("bigint").alias("doc"), F.col("_id").cast("string").alias("_id"), stored_json(df, schema).alias("stored"), quality.alias("quality"))
 
 
-def _item(name: str, weight):
-    return lambda t, i: F.struct(F.lit(name).alias("field"), i.alias("pos"), t.alias("term"), weight(i).alias("weight"))
-
-
-def occurrences(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None) -> DataFrame:
-    """(seg, doc, field, pos, term, weight): one row for each token. All fields come from one scan; fields that df hasn't and null values have none."""
-    parts = []
-    for f in schema.fields:
-        if f.name not in df.columns:
-            continue
-        toks = analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by)
-        weights = weight_column(f.name)
-        if f.store_token_weights and weights in df.columns:
-            item = F.transform(toks, _item(f.name, lambda i, w=weights: F.coalesce(F.get(F.col(f"`{w}`").cast("array<float>"), i), F.lit(1.0).cast("float"))))
-        else:
-            one = F.lit(1.0 if f.store_token_weights else None).cast("float")
-            item = F.transform(toks, _item(f.name, lambda i, o=one: o))
-        parts.append(F.coalesce(item, F.array().cast("array<struct<field:string,pos:int,term:string,weight:float>>")))
+_ITEMS = "array<struct<field:string,term:string,tf:int,first_pos:int,weight:float>>"
+
+
+def _item(name: str, term: Column, tf: Column, pos: Column, weight: Column) -> Column:
+    return F.struct(F.lit(name).alias("field"), term.alias("term"), tf.cast("int").alias("tf"), F.least(pos, F.lit(scoring.MAX_POSITION)).cast("int").alias("first_pos"), weight.cast("float").alias("weight"))
+
+
+def _counted(df: DataFrame, schema: Schema, seg: int | Column, doc: Column | None) -> DataFrame:
+    """(seg, doc, field, term, tf, first_pos, weight) of each row by itself. All fields come from one scan; fields that df hasn't and null values have none."""
+    first, counts, items = [], [], []
+
+    def add(i: int, f: FieldMapping) -> None:
+        tokens, given, found = F.col(f"tokens{i}"), F.col(f"weights{i}"), F.col(f"counts{i}")
+        weighed = f.store_token_weights and weight_column(f.name) in df.columns
+        one = F.lit(1.0 if f.store_token_weights else None).cast("float")
+        first.append(analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by).alias(f"tokens{i}"))
+        if weighed:
+            first.append(F.col(f"`{weight_column(f.name)}`").cast("array<float>").alias(f"weights{i}"))
+        elif f.analyzed_by == "keyword":  # a token at most
+            items.append(F.transform(tokens, lambda t: _item(f.name, t, F.lit(1), F.lit(0), one)))
+            return
+        counts.append(analysis.token_counts(tokens, F.transform(tokens, lambda _, k: F.coalesce(F.get(given, k), one)) if weighed else None).alias(f"counts{i}"))
+        items.append(F.transform(found, lambda x: _item(f.name, F.get(tokens, x["pos"]), x["tf"], x["pos"], x["weight"] if weighed else one)))
+
+    for i, f in enumerate(schema.fields):
+        if f.name in df.columns:
+            add(i, f)
     number = doc if doc is not None else F.monotonically_increasing_id()
-    every = parts[0] if len(parts) == 1 else F.concat(*parts)
-    exploded = df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), number.cast("bigint").alias("doc"), F.explode_outer(every).alias("x"))
-    return exploded.select("seg", "doc", "x.*").where("term is not null")
+    rows = df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), number.cast("bigint").alias("doc"), *first).select("*", *counts)
+    every = F.concat(*(F.coalesce(x, F.array().cast(_ITEMS)) for x in items))
+    return rows.select("seg", "doc", F.explode(every).alias("x")).select("seg", "doc", "x.*")
 
 
-def postings(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None) -> DataFrame:
-    """POSTINGS: tf counts, the first place among the field's tokens (65,535 at most), the greatest token weight as a byte (null where the field stores none)."""
-    weight = F.when(F.max("weight").isNull(), F.lit(None)).otherwise(scoring.quantize_weight(F.greatest(F.max("weight"), F.lit(0.0)))).cast("smallint")
-    grouped = occurrences(df, schema, seg, doc).groupBy("seg", "doc", "field", "term")
-    return grouped.agg(F.count("*").cast("int").alias("tf"), F.least(F.min("pos"), F.lit(scoring.MAX_POSITION)).cast("int").alias("first_pos"), weight.alias("weight_q8"))
+def repeated(df: DataFrame, seg: int | Column, doc: Column) -> DataFrame | None:
+    """(seg, doc) of the numbers that several rows bear; None if there are none. This is looked up at once, and reads the columns of the numbers only."""
+    keys = df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), doc.cast("bigint").alias("doc")).groupBy("seg", "doc").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    n = keys.count()
+    return (F.broadcast(keys) if n <= BROADCAST_ROWS else keys) if n else None
+
+
+def postings(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None, shared: DataFrame | None = None) -> DataFrame:
+    """POSTINGS: tf counts, the first place among the field's tokens (65,535 at most), the greatest token weight as a byte (null where the field stores none).
+
+    A row's tokens are counted within the row, nothing is moved. Only rows whose number is among `shared`, as repeated() has them, are merged.
+    """
+    if shared is None:
+        rows = _counted(df, schema, seg, doc)
+    else:
+        keys = shared.select(F.col("seg").alias("__seg"), F.col("doc").alias("__doc"))
+        same = (seg if isinstance(seg, Column) else F.lit(seg)).cast("int").eqNullSafe(F.col("__seg")) & doc.cast("bigint").eqNullSafe(F.col("__doc"))
+        merged = _counted(df.join(keys, same, "left_semi"), schema, seg, doc).groupBy("seg", "doc", "field", "term").agg(F.sum("tf").cast("int").alias("tf"), F.min("first_pos").alias("first_pos"), F.max("weight").alias("weight"))
+        rows = _counted(df.join(keys, same, "left_anti"), schema, seg, doc).unionByName(merged)
+    weight = F.when(F.col("weight").isNull(), F.lit(None)).otherwise(scoring.quantize_weight(F.greatest("weight", F.lit(0.0)))).cast("smallint")
+    return rows.withColumn("weight", weight).withColumnRenamed("weight", "weight_q8")
 
 
 def term_stats(p: DataFrame) -> DataFrame:
@@ -74,13 +101,19 @@ def term_stats(p: DataFrame) -> DataFrame:
     return p.groupBy("seg", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
-def field_stats(p: DataFrame) -> DataFrame:
-    """FIELD_STATS. doc_count counts documents with a token in the field."""
-    lengths = p.groupBy("seg", "field", "doc").agg(F.sum("tf").alias("n")).groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").alias("sum_field_length"))
+def field_stats(p: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """FIELD_STATS. doc_count counts documents with a token in the field. lengths: the same without terms, where it is known from the documents."""
+    if lengths is None:
+        lengths = _lengths(p)
     terms = p.select("seg", "field", "term").distinct().groupBy("seg", "field").agg(F.count("*").alias("term_count"))
     return lengths.join(terms, ["seg", "field"])
 
 
+def _lengths(p: DataFrame) -> DataFrame:
+    each = p.groupBy("seg", "field", "doc").agg(F.sum("tf").alias("n"))
+    return each.groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").alias("sum_field_length"))
+
+
 def document_lengths(df: DataFrame, schema: Schema, seg: int | Column = 0) -> DataFrame:
     """(seg, field, doc_count, sum_field_length) from the documents themselves: tokens are counted where they are, none is moved."""
     sizes = [F.struct(F.lit(f.name).alias("field"), F.size(analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by)).alias("n")) for f in schema.fields if f.name in df.columns]
@@ -106,15 +139,14 @@ class Index:
     extra: dict = field(default_factory=dict)
 
     def field_stats(self) -> DataFrame:
-        return self.fields if self.fields is not None else field_stats(self.postings)
+        return self.fields if self.fields is not None else field_stats(self.postings, self.lengths())
 
     def lengths(self) -> DataFrame:
         """(seg, field, doc_count, sum_field_length) by the shortest way there is."""
         known = self.fields if self.fields is not None else self.sizes
         if known is not None:
             return known.select("seg", "field", "doc_count", "sum_field_length")
-        each = self.postings.groupBy("seg", "field", "doc").agg(F.sum("tf").alias("n"))
-        return each.groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").alias("sum_field_length"))
+        return _lengths(self.postings)
 
     def doc_count(self) -> int:
         return self.docs.count()
@@ -127,9 +159,10 @@ class Index:
 
 
 def build(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None) -> Index:
-    """An index in memory: nothing is computed before it is searched."""
+    """An index in memory: nothing is computed before it is searched, except which numbers several rows bear. Such rows are one document in the postings."""
     schema = schema.with_id()
-    return Index(schema, postings(df, schema, seg, doc), document_rows(df, schema, seg, doc), sizes=document_lengths(df, schema, seg))
+    shared = None if doc is None else repeated(df, seg, doc)
+    return Index(schema, postings(df, schema, seg, doc, shared), document_rows(df, schema, seg, doc), sizes=document_lengths(df, schema, seg) if shared is None else None)
 
 
 def intersect(lists: list[DataFrame], on: list[str] | None = None) -> DataFrame:

@@ -63,16 +63,17 @@ def stem(generation: int, seg: int) -> str:
 
 
 def seal(docs: DataFrame, schema: Schema, root: str, seg: int, name: str, partitions: int | None = None) -> int:
-    """Writes a segment of documents in the order of the column `order` and returns how many there are. Postings are sorted by field and term, so that a scan for a term reads few row groups."""
+    """Writes a segment of documents in the order of the column `order` and returns how many there are. Postings are sorted by term and field, so that a scan for a term reads few row groups."""
     at = f"{root}/segments/{name}"
     spark = docs.sparkSession
     numbered = docs.orderBy("order").drop("order").withColumn("doc", F.monotonically_increasing_id())
     numbered.write.mode("overwrite").parquet(f"{at}/raw")
     back = spark.read.parquet(f"{at}/raw")
     P.document_rows(back, schema, seg, F.col("doc")).write.mode("overwrite").parquet(f"{at}/docs")
-    rows = P.postings(back, schema, seg, F.col("doc"))
-    spread = rows.repartitionByRange(partitions, "field", "term") if partitions else rows.repartitionByRange("field", "term")
-    spread.sortWithinPartitions("field", "term", "doc").write.mode("overwrite").parquet(f"{at}/postings")
+    rows = P.postings(back, schema, seg, F.col("doc")).drop("seg")
+    places = ("term", "field", "doc")  # terms differ in their first bytes, which sorting compares first; by documents as well, so that a common term is no task of its own
+    spread = rows.repartitionByRange(partitions, *places) if partitions else rows.repartitionByRange(*places)
+    spread.sortWithinPartitions(*places).select(F.lit(seg).cast("int").alias("seg"), "*").write.mode("overwrite").parquet(f"{at}/postings")
     P.field_stats(spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/fields")
     Files(spark).delete(f"{at}/raw")
     return spark.read.parquet(f"{at}/docs").count()
