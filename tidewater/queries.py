@@ -274,10 +274,10 @@ SELECT p.doc AS doc_id, round(ln((n - d + 0.5) / (d + 0.5) + 1) * tf * 2.2 / (tf
 )
 def x2(spark, sf_dir):
     index = documents_index(spark, sf_dir)
-    own = index.postings.where("field = 'text'")
-    lengths = own.groupBy("doc").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.avg("len").alias("avg")).crossJoin(own.where("term = 'that'").agg(F.count("*").alias("d"))).crossJoin(index.docs.agg(F.count("*").alias("n")))
-    rows = own.where("term = 'that'").join(lengths, "doc").crossJoin(F.broadcast(stats))
+    own = index.postings.where("field = 'text'").groupBy("doc").agg(F.sum("tf").alias("len"), F.max(F.when(F.col("term") == "that", F.col("tf"))).alias("tf"))
+    # over the same aggregation as the rows, whose exchange then serves both
+    stats = own.agg(F.avg("len").alias("avg"), F.count("tf").alias("d")).crossJoin(index.docs.agg(F.count("*").alias("n")))
+    rows = own.where("tf is not null").crossJoin(F.broadcast(stats))
     score = scoring.bm25_score(scoring.bm25_idf(F.col("n"), F.col("d")), F.col("tf"), F.col("len"), F.col("avg"))
     return rows.select(F.col("doc").alias("doc_id"), F.round(score, 6).alias("score"))
 
