@@ -74,7 +74,7 @@ def seal(docs: DataFrame, schema: Schema, root: str, seg: int, name: str, partit
     places = ("term", "field", "doc")  # terms differ in their first bytes, which sorting compares first; by documents as well, so that a common term is no task of its own
     spread = rows.repartitionByRange(partitions, *places) if partitions else rows.repartitionByRange(*places)
     spread.sortWithinPartitions(*places).select(F.lit(seg).cast("int").alias("seg"), "*").write.mode("overwrite").parquet(f"{at}/postings")
-    P.field_stats(spark.read.parquet(f"{at}/postings")).write.mode("overwrite").parquet(f"{at}/fields")
+    P.field_stats(spark.read.parquet(f"{at}/postings"), P.document_lengths(back, schema, seg)).write.mode("overwrite").parquet(f"{at}/fields")
     Files(spark).delete(f"{at}/raw")
     return spark.read.parquet(f"{at}/docs").count()
 
