@@ -176,7 +176,7 @@ def g6(spark, sf_dir):
 
 @query("g7_average_length", f"WITH {POST} SELECT field, round(sum(tf) / count(DISTINCT doc), 6) AS avg_field_length FROM p GROUP BY field")
 def g7(spark, sf_dir):
-    return P.average_lengths(P.field_stats(documents_index(spark, sf_dir, segments=2).postings)).select("field", F.round("avg_field_length", 6).alias("avg_field_length"))
+    return P.average_lengths(documents_index(spark, sf_dir, segments=2).lengths()).select("field", F.round("avg_field_length", 6).alias("avg_field_length"))
 
 
 @query("g8_doc_count", "SELECT doc_id % 2 AS seg, count(*) AS docs FROM documents GROUP BY 1")
