@@ -171,7 +171,7 @@ def g5(spark, sf_dir):
 
 @query("g6_field_stats", f"WITH {POST} SELECT field, count(DISTINCT doc) AS doc_count, sum(tf)::BIGINT AS sum_field_length, count(DISTINCT term) AS term_count FROM p GROUP BY field")
 def g6(spark, sf_dir):
-    return P.field_stats(documents_index(spark, sf_dir).postings).drop("seg")
+    return documents_index(spark, sf_dir).field_stats().drop("seg")
 
 
 @query("g7_average_length", f"WITH {POST} SELECT field, round(sum(tf) / count(DISTINCT doc), 6) AS avg_field_length FROM p GROUP BY field")
