@@ -130,6 +130,71 @@ def _in_parts(tokens: pa.Array, weights: pa.Array | None) -> pa.Array:
     return pa.concat_arrays(parts)
 
 
+#: Bytes of text that are analyzed at once, unless one row holds more.
+ANALYZED_AT_ONCE = 1 << 22
+ITEMS = "array<struct<field:string,term:string,tf:int,first_pos:int,weight:float>>"
+_LOWER = np.zeros(256, np.uint8)
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
+    _LOWER[[_c, ord(chr(_c).upper())]] = _c
+
+
+def _tally_text(data: np.ndarray, ends: np.ndarray, field: str, weight: float | None, most: int) -> pa.Array:
+    """Of the bytes of some rows, which end at these places. Bytes of other characters than letters and digits of ASCII, at least one each, are between tokens."""
+    low = _LOWER[data]
+    inside = low != 0
+    before, after = np.zeros(len(low) + 1, bool), np.zeros(len(low) + 1, bool)
+    before[1:], after[:-1] = inside, inside
+    before[ends], after[ends] = False, False  # no token goes on in the next row
+    before, after = before[:-1], after[1:]
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(low[inside])).dictionary_encode()
+    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    kept = ~pc.is_in(words.dictionary, value_set=pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False).astype(bool)[code]
+    code, row = code[kept], np.searchsorted(ends, start[kept], side="right")
+    size = np.bincount(row, minlength=len(ends))
+    key = row * len(words.dictionary) + code
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    at, tf = order[first], np.diff(np.append(first, len(order)))
+    of = row[at]
+    place = np.minimum(at - (np.cumsum(size) - size)[of], most)
+    n = len(first)
+    columns = [pa.repeat(pa.scalar(field), n), words.dictionary.take(pa.array(code[at])), pa.array(tf.astype(np.int32)), pa.array(place.astype(np.int32)), pa.repeat(pa.scalar(weight, pa.float32()), n)]
+    upto = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(ends)))))
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(columns, names=["field", "term", "tf", "first_pos", "weight"]))
+
+
+def _text_in_parts(text: pa.Array, field: str, weight: float | None, most: int) -> pa.Array:
+    text = pc.fill_null(text, "")
+    size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    _, offsets, data = text.buffers()
+    base = int(np.frombuffer(offsets, kind)[text.offset]) if len(text) else 0
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    parts, a = [], 0
+    while a < len(ends) or not parts:
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + ANALYZED_AT_ONCE, side="right")))
+        upto = int(ends[min(b, len(ends)) - 1]) if len(ends) else 0
+        parts.append(_tally_text(data[base + done : base + upto], ends[a:b] - done, field, weight, most))
+        a = b
+    return pa.concat_arrays(parts)
+
+
+def standard_items(text: Column, field: str, weight: float | None, most: int) -> Column:
+    """For each text its different tokens by the standard analyzer as (field, term, tf, first_pos, weight): how often each is there, and its first place, `most` at the greatest. Null has none.
+
+    standard_tokens and token_counts in one, over the bytes of many rows at once; the three must agree.
+    """
+
+    def items(text: pa.Array) -> pa.Array:
+        return _text_in_parts(text, field, weight, most)
+
+    return F.arrow_udf(items, ITEMS)(text)
+
+
 def _counts(tokens: pa.Array) -> pa.Array:
     return _in_parts(tokens, None)
 

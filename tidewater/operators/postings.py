@@ -40,9 +40,6 @@ def document_rows(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Col
     return df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), number.cast("bigint").alias("doc"), F.col("_id").cast("string").alias("_id"), stored_json(df, schema).alias("stored"), quality.alias("quality"))
 
 
-_ITEMS = "array<struct<field:string,term:string,tf:int,first_pos:int,weight:float>>"
-
-
 def _item(name: str, term: Column, tf: Column, pos: Column, weight: Column) -> Column:
     return F.struct(F.lit(name).alias("field"), term.alias("term"), tf.cast("int").alias("tf"), F.least(pos, F.lit(scoring.MAX_POSITION)).cast("int").alias("first_pos"), weight.cast("float").alias("weight"))
 
@@ -55,6 +52,11 @@ def _counted(df: DataFrame, schema: Schema, seg: int | Column, doc: Column | Non
         tokens, given, found = F.col(f"tokens{i}"), F.col(f"weights{i}"), F.col(f"counts{i}")
         weighed = f.store_token_weights and weight_column(f.name) in df.columns
         one = F.lit(1.0 if f.store_token_weights else None).cast("float")
+        if not weighed and analysis.find(f.analyzed_by) is analysis.ANALYZERS["standard"]:
+            first.append(F.col(f"`{f.name}`").cast("string").alias(f"text{i}"))
+            counts.append(analysis.standard_items(F.col(f"text{i}"), f.name, 1.0 if f.store_token_weights else None, scoring.MAX_POSITION).alias(f"counts{i}"))
+            items.append(found)
+            return
         first.append(analysis.tokens(F.col(f"`{f.name}`").cast("string"), f.analyzed_by).alias(f"tokens{i}"))
         if weighed:
             first.append(F.col(f"`{weight_column(f.name)}`").cast("array<float>").alias(f"weights{i}"))
@@ -69,7 +71,7 @@ def _counted(df: DataFrame, schema: Schema, seg: int | Column, doc: Column | Non
             add(i, f)
     number = doc if doc is not None else F.monotonically_increasing_id()
     rows = df.select((seg if isinstance(seg, Column) else F.lit(seg)).cast("int").alias("seg"), number.cast("bigint").alias("doc"), *first).select("*", *counts)
-    every = F.concat(*(F.coalesce(x, F.array().cast(_ITEMS)) for x in items))
+    every = F.concat(*(F.coalesce(x, F.array().cast(analysis.ITEMS)) for x in items))
     return rows.select("seg", "doc", F.explode(every).alias("x")).select("seg", "doc", "x.*")
 
 
