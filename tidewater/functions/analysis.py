@@ -1,7 +1,7 @@
 """Text analysis: the standard and the keyword analyzer, as columns and in plain Python.
 
-The columns are built-in expressions, so that they stay in generated code; the plain
-versions analyze query strings on the driver and must agree with them.
+The columns are built-in expressions, so that they stay in generated code, except those that count tokens,
+which go over Arrow batches; the plain versions analyze query strings on the driver and must agree with them.
 """
 
 from __future__ import annotations
