@@ -7,7 +7,7 @@ which go over Arrow batches; the plain versions analyze query strings on the dri
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -138,9 +138,12 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _LOWER[[_c, ord(chr(_c).upper())]] = _c
 
 
-def _tally_text(data: np.ndarray, ends: np.ndarray, field: str, weight: float | None, most: int) -> pa.Array:
-    """Of the bytes of some rows, which end at these places. Bytes of other characters than letters and digits of ASCII, at least one each, are between tokens."""
-    low = _LOWER[data]
+_LOWER_TABLE = _LOWER.tobytes()
+
+
+def _standard_codes(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, each token's word, each token's row) of the bytes of some rows, which end at these places. Bytes of other characters than letters and digits of ASCII, at least one each, are between tokens. Some words may have no token: stop words."""
+    low = np.frombuffer(data.tobytes().translate(_LOWER_TABLE), np.uint8)
     inside = low != 0
     before, after = np.zeros(len(low) + 1, bool), np.zeros(len(low) + 1, bool)
     before[1:], after[:-1] = inside, inside
@@ -151,21 +154,26 @@ def _tally_text(data: np.ndarray, ends: np.ndarray, field: str, weight: float |
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(low[inside])).dictionary_encode()
     code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     kept = ~pc.is_in(words.dictionary, value_set=pa.array(STOP_WORDS)).to_numpy(zero_copy_only=False).astype(bool)[code]
-    code, row = code[kept], np.searchsorted(ends, start[kept], side="right")
+    return words.dictionary, code[kept], np.searchsorted(ends, start[kept], side="right")
+
+
+def _tally_text(data: np.ndarray, ends: np.ndarray, field: str, weight: float | None, most: int) -> pa.Array:
+    words, code, row = _standard_codes(data, ends)
     size = np.bincount(row, minlength=len(ends))
-    key = row * len(words.dictionary) + code
+    key = row * len(words) + code
     order = np.argsort(key, kind="stable")
     first = np.flatnonzero(np.diff(key[order], prepend=-1))
     at, tf = order[first], np.diff(np.append(first, len(order)))
     of = row[at]
     place = np.minimum(at - (np.cumsum(size) - size)[of], most)
     n = len(first)
-    columns = [pa.repeat(pa.scalar(field), n), words.dictionary.take(pa.array(code[at])), pa.array(tf.astype(np.int32)), pa.array(place.astype(np.int32)), pa.repeat(pa.scalar(weight, pa.float32()), n)]
+    columns = [pa.repeat(pa.scalar(field), n), words.take(pa.array(code[at])), pa.array(tf.astype(np.int32)), pa.array(place.astype(np.int32)), pa.repeat(pa.scalar(weight, pa.float32()), n)]
     upto = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(ends)))))
     return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays(columns, names=["field", "term", "tf", "first_pos", "weight"]))
 
 
-def _text_in_parts(text: pa.Array, field: str, weight: float | None, most: int) -> pa.Array:
+def _byte_parts(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, the places where its rows end) of each part of some texts, one part at least. Null is an empty text."""
     text = pc.fill_null(text, "")
     size = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
@@ -173,14 +181,17 @@ def _text_in_parts(text: pa.Array, field: str, weight: float | None, most: int)
     _, offsets, data = text.buffers()
     base = int(np.frombuffer(offsets, kind)[text.offset]) if len(text) else 0
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    parts, a = [], 0
-    while a < len(ends) or not parts:
+    a = 0
+    while a < len(ends) or not a:
         done = int(ends[a - 1]) if a else 0
         b = max(a + 1, int(np.searchsorted(ends, done + ANALYZED_AT_ONCE, side="right")))
         upto = int(ends[min(b, len(ends)) - 1]) if len(ends) else 0
-        parts.append(_tally_text(data[base + done : base + upto], ends[a:b] - done, field, weight, most))
+        yield a, data[base + done : base + upto], ends[a:b] - done
         a = b
-    return pa.concat_arrays(parts)
+
+
+def _text_in_parts(text: pa.Array, field: str, weight: float | None, most: int) -> pa.Array:
+    return pa.concat_arrays([_tally_text(data, ends, field, weight, most) for _, data, ends in _byte_parts(text)])
 
 
 def standard_items(text: Column, field: str, weight: float | None, most: int) -> Column:
@@ -212,3 +223,70 @@ def token_counts(tokens: Column, weights: Column | None = None) -> Column:
     if weights is None:
         return F.arrow_udf(_counts, _COUNTS)(tokens)
     return F.arrow_udf(_weighed, _COUNTS)(tokens, weights)
+
+
+#: Rows (group, field, term) that a task gathers before it adds them up, and of which it hands on all if more than half are left.
+GATHERED = 1 << 19
+_TERMS = pa.schema([("seg", pa.int32()), ("field", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("total_tf", pa.int64())])
+
+
+def _term_rows(field: str, words: pa.Array, code: np.ndarray, row: np.ndarray, segs: pa.Array) -> pa.Table:
+    """How many rows of each segment hold a word, and how often. code, row: of each token; segs: of each row."""
+    segs, n = segs.dictionary_encode(null_encoding="encode"), max(len(words), 1)
+    key = np.sort(row * n + code)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, tf = key[first], np.diff(np.append(first, len(key)))
+    of = segs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    group = of[key // n] * n + key % n
+    order = np.argsort(group, kind="stable")
+    group, tf = group[order], tf[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    group, df = group[first], np.diff(np.append(first, len(group)))
+    total = np.add.reduceat(tf, first) if len(first) else tf
+    columns = [segs.dictionary.take(pa.array(group // n)), pa.repeat(pa.scalar(field), len(group)), words.take(pa.array(group % n)), pa.array(df, pa.int64()), pa.array(total, pa.int64())]
+    return pa.Table.from_arrays(columns, schema=_TERMS)
+
+
+def _terms_of(batch: pa.RecordBatch, fields: list[str]) -> Iterator[pa.Table]:
+    segs = batch.column(0)
+    for field, column in zip(fields, batch.columns[1:], strict=True):
+        if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+            size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = column.flatten().dictionary_encode()
+            code = pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            there = code >= 0
+            yield _term_rows(field, words.dictionary.cast(pa.string()), code[there], np.repeat(np.arange(len(size)), size)[there], segs)
+        else:
+            for a, data, ends in _byte_parts(column):
+                yield _term_rows(field, *_standard_codes(data, ends), segs.slice(a, len(ends)))
+
+
+def _added(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by(["seg", "field", "term"], use_threads=False).aggregate([("df", "sum"), ("total_tf", "sum")]).rename_columns(_TERMS.names).cast(_TERMS)
+
+
+def term_table(df: DataFrame, seg: Column, texts: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(seg, field, term, df, total_tf) of parts of the rows, yet to be summed: in how many rows of a segment a field holds a term, and how often. texts: a field's text and the name of its analyzer.
+
+    Tasks add up over many rows what they count, in bounded memory, so that neither postings nor a row for each of them are made.
+    Texts of the standard analyzer are read as bytes, those of others come as arrays of tokens; null has no token, nor are tokens that are null counted.
+    """
+    fields = list(texts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for rows in _terms_of(batch, fields):
+                held.append(rows)
+                n += len(rows)
+                if n > GATHERED:
+                    held = [_added(held)]
+                    n = len(held[0])
+                    if n > GATHERED // 2:
+                        yield from held[0].to_batches()
+                        held, n = [], 0
+        if held:
+            yield from _added(held).to_batches()
+
+    columns = [text if find(name) is ANALYZERS["standard"] else tokens(text, name) for text, name in texts.values()]
+    return df.select(seg.cast("int"), *(c.alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(count, "seg int, field string, term string, df bigint, total_tf bigint")

@@ -103,11 +103,11 @@ def term_stats(p: DataFrame) -> DataFrame:
     return p.groupBy("seg", "field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
 
 
-def field_stats(p: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """FIELD_STATS. doc_count counts documents with a token in the field. lengths: the same without terms, where it is known from the documents."""
+def field_stats(p: DataFrame, lengths: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """FIELD_STATS. doc_count counts documents with a token in the field. lengths: the same without terms, terms: a row or more for each term, where they are known from the documents."""
     if lengths is None:
         lengths = _lengths(p)
-    terms = p.select("seg", "field", "term").distinct().groupBy("seg", "field").agg(F.count("*").alias("term_count"))
+    terms = (p if terms is None else terms).select("seg", "field", "term").distinct().groupBy("seg", "field").agg(F.count("*").alias("term_count"))
     return lengths.join(terms, ["seg", "field"])
 
 
@@ -123,6 +123,12 @@ def document_lengths(df: DataFrame, schema: Schema, seg: int | Column = 0) -> Da
     return rows.groupBy("seg", "field").agg(F.count("*").alias("doc_count"), F.sum("n").cast("bigint").alias("sum_field_length"))
 
 
+def document_terms(df: DataFrame, schema: Schema, seg: int | Column = 0) -> DataFrame:
+    """(seg, field, term, df, total_tf) from the documents themselves, in parts that summed up are term_stats of their postings. Each row counts as a document."""
+    texts = {f.name: (F.col(f"`{f.name}`").cast("string"), f.analyzed_by) for f in schema.fields if f.name in df.columns}
+    return analysis.term_table(df, seg if isinstance(seg, Column) else F.lit(seg), texts)
+
+
 def average_lengths(stats: DataFrame) -> DataFrame:
     """(field, avg_field_length) over all segments."""
     return stats.groupBy("field").agg((F.sum("sum_field_length") / F.sum("doc_count")).alias("avg_field_length"))
@@ -130,18 +136,19 @@ def average_lengths(stats: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A snapshot: frames that don't change. fields: FIELD_STATS, from the postings unless it is given; sizes: the same without terms, which needs no postings."""
+    """A snapshot: frames that don't change. fields: FIELD_STATS, from the postings unless it is given; sizes: the same without terms, which needs no postings; terms: what sums up to term_stats, likewise."""
 
     schema: Schema
     postings: DataFrame
     docs: DataFrame
     fields: DataFrame | None = None
     sizes: DataFrame | None = None
+    terms: DataFrame | None = None
     generation: int = 0
     extra: dict = field(default_factory=dict)
 
     def field_stats(self) -> DataFrame:
-        return self.fields if self.fields is not None else field_stats(self.postings, self.lengths())
+        return self.fields if self.fields is not None else field_stats(self.postings, self.lengths(), self.terms)
 
     def lengths(self) -> DataFrame:
         """(seg, field, doc_count, sum_field_length) by the shortest way there is."""
@@ -150,6 +157,12 @@ class Index:
             return known.select("seg", "field", "doc_count", "sum_field_length")
         return _lengths(self.postings)
 
+    def term_stats(self) -> DataFrame:
+        """(seg, field, term, df, total_tf) by the shortest way there is."""
+        if self.terms is None:
+            return term_stats(self.postings)
+        return self.terms.groupBy("seg", "field", "term").agg(F.sum("df").alias("df"), F.sum("total_tf").alias("total_tf"))
+
     def doc_count(self) -> int:
         return self.docs.count()
 
@@ -157,14 +170,16 @@ class Index:
         """Both indexes' segments searched as one."""
         stats = None if self.fields is None or other.fields is None else self.fields.unionByName(other.fields)
         sizes = None if self.sizes is None or other.sizes is None else self.sizes.unionByName(other.sizes)
-        return replace(self, postings=self.postings.unionByName(other.postings), docs=self.docs.unionByName(other.docs), fields=stats, sizes=sizes)
+        terms = None if self.terms is None or other.terms is None else self.terms.unionByName(other.terms)
+        return replace(self, postings=self.postings.unionByName(other.postings), docs=self.docs.unionByName(other.docs), fields=stats, sizes=sizes, terms=terms)
 
 
 def build(df: DataFrame, schema: Schema, seg: int | Column = 0, doc: Column | None = None) -> Index:
     """An index in memory: nothing is computed before it is searched, except which numbers several rows bear. Such rows are one document in the postings."""
     schema = schema.with_id()
     shared = None if doc is None else repeated(df, seg, doc)
-    return Index(schema, postings(df, schema, seg, doc, shared), document_rows(df, schema, seg, doc), sizes=document_lengths(df, schema, seg) if shared is None else None)
+    own = {} if shared is not None else {"sizes": document_lengths(df, schema, seg), "terms": document_terms(df, schema, seg)}
+    return Index(schema, postings(df, schema, seg, doc, shared), document_rows(df, schema, seg, doc), **own)
 
 
 def intersect(lists: list[DataFrame], on: list[str] | None = None) -> DataFrame:

@@ -160,7 +160,7 @@ def g3(spark, sf_dir):
 
 @query("g4_term_stats", f"WITH {POST} SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM p GROUP BY ALL")
 def g4(spark, sf_dir):
-    return P.term_stats(documents_index(spark, sf_dir).postings).drop("seg")
+    return documents_index(spark, sf_dir).term_stats().drop("seg")
 
 
 @query("g5_global_df", f"WITH {POST} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
