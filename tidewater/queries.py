@@ -263,7 +263,7 @@ def s2(spark, sf_dir):
 @query("x1_idf", f"WITH {POST} SELECT field, term, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p, n GROUP BY field, term")
 def x1(spark, sf_dir):
     index = documents_index(spark, sf_dir)
-    stats = P.term_stats(index.postings).crossJoin(F.broadcast(index.docs.agg(F.count("*").alias("n"))))
+    stats = index.term_stats().crossJoin(F.broadcast(index.docs.agg(F.count("*").alias("n"))))
     return stats.select("field", "term", F.round(scoring.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
