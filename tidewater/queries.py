@@ -165,7 +165,7 @@ def g4(spark, sf_dir):
 
 @query("g5_global_df", f"WITH {POST} SELECT field, term, count(*) AS df FROM p GROUP BY ALL")
 def g5(spark, sf_dir):
-    stats = P.term_stats(documents_index(spark, sf_dir, segments=3).postings)
+    stats = documents_index(spark, sf_dir, segments=3).term_stats()
     return stats.groupBy("field", "term").agg(F.sum("df").alias("df"))
 
 
